@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, licenses, quality, secrets, urls
+from millrace.llm import langid, licenses, minhash, quality, secrets, substrings, urls
 
 #: Fixed values: (host, path, verdict).
 URL_RULES = (
@@ -28,6 +28,10 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
@@ -43,6 +47,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_license_scan, op4_secret_scan, op5_language_id, op9_quality_rules, op10_url_filter)
+    f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_secret_scan, op5_language_id, op8_near_duplicates, op9_quality_rules, op10_url_filter)
 }
 
 _BLANKS = r"[\x20\x09-\x0D]"
@@ -62,6 +70,21 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted({w for line in quality.STOP_WORDS fo
 _RULES = " AND ".join([f"{r.measure} >= {r.low!r}::DOUBLE" for r in quality.RULES if r.low is not None] + [f"{r.measure} <= {r.high!r}::DOUBLE" for r in quality.RULES if r.high is not None])
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+i AS (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS s FROM d),
+w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM i),
+f AS (SELECT k, min((doc_id, s)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT w.doc_id, w.s FROM w JOIN f USING (k) WHERE (w.doc_id, w.s) <> f.first),
+g AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM r),
+c AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM g),
+p AS (SELECT doc_id, n, min(s) AS a, max(s) + 100 AS b FROM c GROUP BY doc_id, n),
+q AS (SELECT doc_id, n, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM p),
+k AS (SELECT q.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY n) AS head, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""",
     "op9_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
