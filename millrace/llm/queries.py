@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, licenses, minhash, quality, secrets, substrings, urls
+from millrace.llm import langid, lattice, licenses, minhash, quality, secrets, substrings, urls
 
 #: Fixed values: (host, path, verdict).
 URL_RULES = (
@@ -47,6 +47,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lattice.score(documents, remainder("doc_id", 10) != 0)
+    return out.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_secret_scan, op5_language_id, op8_near_duplicates, op9_quality_rules, op10_url_filter)
+    f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_secret_scan, op5_language_id, op7_lm_score, op8_near_duplicates, op9_quality_rules, op10_url_filter)
 }
 
 _BLANKS = r"[\x20\x09-\x0D]"
