@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, lattice, licenses, minhash, quality, secrets, substrings, urls
+from millrace.llm import contamination, langid, lattice, licenses, minhash, mixing, quality, secrets, substrings, urls
 
 #: Fixed values: (host, path, verdict).
 URL_RULES = (
@@ -32,6 +32,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
@@ -47,6 +51,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lattice.score(documents, remainder("doc_id", 10) != 0)
@@ -68,10 +76,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_secret_scan, op5_language_id, op7_lm_score, op8_near_duplicates, op9_quality_rules, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_decontamination,
+        op3_license_scan,
+        op4_secret_scan,
+        op5_language_id,
+        op6_source_mix,
+        op7_lm_score,
+        op8_near_duplicates,
+        op9_quality_rules,
+        op10_url_filter,
+    )
 }
 
-_BLANKS = r"[\x20\x09-\x0D]"
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for line in quality.STOP_WORDS for w in line.split()}))
 _RULES = " AND ".join([f"{r.measure} >= {r.low!r}::DOUBLE" for r in quality.RULES if r.low is not None] + [f"{r.measure} <= {r.high!r}::DOUBLE" for r in quality.RULES if r.high is not None])
 
