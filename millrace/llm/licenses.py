@@ -49,6 +49,7 @@ TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("apache-2", "Licensed under the Apache License, Version 2.0"),
     ("cc-by-nc", "This content is licensed under CC BY-NC 4.0"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
 )
 
 

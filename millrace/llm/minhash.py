@@ -10,11 +10,12 @@ elements.  Two documents agree on a coordinate with the probability of their wei
 similarity.  With ``unit`` weights (the default for near duplicates) that is the plain one.
 
 *Classes.*  Texts of equal words fall together first.  Of the rest, signatures are cut into bands;
-documents that share a band meet in a bucket.  A bucket does not list its pairs: each member is
-verified against the bucket's pivot (the member that meets most others over all bands), verified
-links are merged into components, and members left outside their pivot's component go on to
-another pivot for some rounds.  What is still apart is compared pair by pair in buckets of up to
-``PAIR_BUCKET`` members; larger buckets go through ``ROUNDS`` more pivots instead.
+documents that share a band meet in a bucket.  A bucket does not list its pairs: each text is
+verified against one hub (of its buckets' pivots, the one that meets most others over all bands),
+and verified links are merged into components.  Then buckets that hold several components are
+looked at again: what lies outside the bucket's main one is compared in buckets of up to
+``PAIR_BUCKET`` members, left-over by other; larger buckets go through ``ROUNDS`` more pivots
+instead.  Pairs that their sizes, or what both share with their hub, rule out are not compared.
 
 Verification is exact: the Jaccard similarity of the shingle sets, ``SIMILARITY`` or more.  A text
 of fewer than five words has one shingle, all its words.  Words are those of the text in lower
@@ -41,7 +42,7 @@ COORDINATES = BANDS * ROWS
 CELL = 0.5
 FIRST = 2.0**-6  #: end of the lowest strip of ranks
 BLOCK = 64  #: members that are verified against a pivot at once
-PAIR_BUCKET = 200
+PAIR_BUCKET = 64
 ROUNDS = 3
 
 
@@ -162,16 +163,17 @@ def signature_batches(weights: str, bands: int, rows: int):
                 with np.errstate(over="ignore"):
                     for r in range(rows):
                         keys = mix(keys * U64(BASE) + found[:, r::rows])
+                sizes = np.bincount(weight_units(grams, of, "unit")[1] if weights != "unit" else doc, minlength=high - low)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n_words.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), lists], ["doc_id", "n_words", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n_words.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), pa.array(sizes.astype(np.int64)), lists], ["doc_id", "n_words", "d1", "d2", "size", "bands"])
 
     return run
 
 
 def signed(df: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "unit", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_words, d1, d2 (digests of the words) and bands of each row."""
+    """doc_id, n_words, d1, d2 (digests of the words), size (shingles) and bands of each row."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(signature_batches(weights, bands, rows), f"doc_id {kind}, n_words long, d1 long, d2 long, bands array<long>")
+    return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(signature_batches(weights, bands, rows), f"doc_id {kind}, n_words long, d1 long, d2 long, size long, bands array<long>")
 
 
 def verify_group(table: pa.Table) -> pa.Table:
@@ -189,17 +191,18 @@ def verify_group(table: pa.Table) -> pa.Table:
         sets += [units[cuts[i] : cuts[i + 1]] for i in range(high - low)]
     pivot = np.sort(sets[int(np.flatnonzero(head)[0])]) if head.any() else np.zeros(0, U64)
     rest = np.flatnonzero(~head)
-    shares = []
+    shares, common = [], []
     for i in rest:
         at = np.searchsorted(pivot, sets[i])
         at[at == len(pivot)] = 0
         both = int((pivot[at] == sets[i]).sum()) if len(pivot) else 0
+        common.append(both)
         shares.append(both / max(1, len(pivot) + len(sets[i]) - both))
-    return pa.table({"a": table.column("a").take(rest), "b": ids.take(rest), "similarity": pa.array(shares, pa.float64())})
+    return pa.table({"a": table.column("a").take(rest), "b": ids.take(rest), "similarity": pa.array(shares, pa.float64()), "common": pa.array(common, pa.int64())})
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b), exactly.
+    """(a, b, similarity, common shingles) of pairs (a, b), exactly.
 
     A pair's b texts travel to a's in blocks, so an a with many partners is spread over many
     groups, and its own text is sent once for each block.
@@ -210,7 +213,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wide = pairs.join(sizes, "a").select("a", F.col("b").alias("doc_id"), salt.alias("block"), F.lit(False).alias("head"))
     heads = wide.select("a", F.col("a").alias("doc_id"), "block", F.lit(True).alias("head")).distinct()
     moved = wide.unionByName(heads).join(texts, "doc_id")
-    return moved.groupBy("a", "block").applyInArrow(verify_group, f"a {kind}, b {kind}, similarity double")
+    return moved.groupBy("a", "block").applyInArrow(verify_group, f"a {kind}, b {kind}, similarity double, common long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,60 +241,59 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("class"))
 
 
+def may_link(similarity: float):
+    """Whether sizes, and what both share with a common hub, leave room for the similarity.
+
+    Two sets share at most the lesser part of the hub that either has, and the lesser rest.
+    """
+    small, large = F.least("size", "size_"), F.greatest("size", "size_")
+    most = F.least("common", "common_") + F.least(F.col("size") - F.col("common"), F.col("size_") - F.col("common_"))
+    room = most / (F.col("size") + F.col("size_") - most) >= similarity - 1e-9
+    return (small >= (similarity - 1e-9) * large) & ((F.col("hub") != F.col("hub_")) | room)
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weights: str = "unit") -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and n_links (verified links of the row's
     text to other texts) of each row of df."""
     texts = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col(key).isNotNull())
     rows = materialize(signed(df, key, text, weights))
-    texts_of = materialize(rows.where("n_words > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
-    member = texts_of.select("rep", F.posexplode("bands").alias("band", "key"))
+    texts_of = materialize(rows.where("n_words > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("size").alias("size")))
+    member = texts_of.select("rep", "size", F.posexplode("bands").alias("band", "key"))
     crowd = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = materialize(member.join(crowd, ["band", "key"]))
+    member = member.join(crowd, ["band", "key"])
     central = member.groupBy("rep").agg(F.sum("n").alias("met"))
     member = materialize(member.join(central, "rep"))
 
-    label = None
-    tested = None
-    edges = None
-    for turn in range(ROUNDS + 1):
-        if label is None:
-            now = member.withColumn("class", F.col("rep"))
-        else:
-            now = member.join(label, member.rep == label.node, "left").withColumn("class", F.coalesce("class", "rep")).drop("node")
-        best = F.max(F.struct("met", F.negative("rep").alias("low"), "rep", "class"))
-        if turn == 0:
-            heads = now.groupBy("band", "key").agg(best.rep.alias("a"))
-            pairs = now.join(heads, ["band", "key"]).where("rep <> a").select("a", F.col("rep").alias("b"))
-        else:
-            main = now.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "key").agg(F.max(F.struct("m", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-            open_ = now.join(main, ["band", "key"])
-            apart = open_.where("class <> main")
-            if turn < ROUNDS:
-                heads = apart.groupBy("band", "key").agg(best.alias("best")).select("band", "key", F.col("best.rep").alias("a"), F.col("best.class").alias("own"))
-                if turn == 1:
-                    few = apart.where(f"n <= {PAIR_BUCKET}").select("band", "key", F.col("rep").alias("a"), F.col("class").alias("own"))
-                    heads = heads.unionByName(few)
-            else:
-                heads = apart.groupBy("band", "key").agg(best.alias("best")).select("band", "key", F.col("best.rep").alias("a"), F.col("best.class").alias("own"))
-            pairs = open_.join(heads, ["band", "key"]).where("class <> own").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    # Each text is first compared with one hub, the most central of its buckets' pivots.
+    pivot = member.groupBy("band", "key").agg(F.max(F.struct("met", F.negative("rep").alias("low"), "rep")).alias("p")).select("band", "key", "p.met", "p.low", F.col("p.rep").alias("a"))
+    pairs = member.drop("met").join(pivot, ["band", "key"]).where("rep <> a").groupBy("rep").agg(F.max_by("a", F.struct("met", "low")).alias("a")).select("a", F.col("rep").alias("b"))
+    pairs = materialize(pairs)
+    checked = materialize(verify(pairs, texts).groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("common").alias("common")))
+    hub = checked.select(F.col("b").alias("rep"), F.col("a").alias("hub"), "common")
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = checked.where(F.col("similarity") >= similarity).select("a", "b")
+    # pivots count as their own hubs, unless they were compared with another one
+    member = materialize(member.join(hub, "rep", "left").withColumns({"hub": F.coalesce("hub", "rep"), "common": F.coalesce("common", "size")}))
+    label = components(edges)
+    for turn in range(ROUNDS):
+        now = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        main = now.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "key").agg(F.max(F.struct("m", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        open_ = now.join(main, ["band", "key"])
+        apart = open_.where("class <> main").select("band", "key", "n", *[F.col(c).alias(f"{c}_") for c in ("rep", "class", "size", "hub", "common", "met")])
+        first = apart.groupBy("band", "key").agg(F.max_by(F.struct(*apart.columns[2:]), F.struct("met_", F.negative("rep_").alias("low"))).alias("f")).select("band", "key", "f.*")
+        heads = first if turn else first.where(f"n > {PAIR_BUCKET}").unionByName(apart.where(f"n <= {PAIR_BUCKET}"))
+        met = open_.join(heads.drop("n"), ["band", "key"]).where(F.col("class") != F.col("class_")).where(may_link(similarity))
+        pairs = met.select(F.least("rep_", "rep").alias("a"), F.greatest("rep_", "rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         if pairs.isEmpty():
             break
+        tested = tested.unionByName(pairs)
         found = materialize(verify(pairs, texts).where(F.col("similarity") >= similarity).select("a", "b").distinct())
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = ordered if tested is None else tested.unionByName(ordered)
         if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
+            edges = edges.unionByName(found)
             label = components(edges)
-        elif turn:
-            break
     out = rows.join(texts_of.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     out = out.withColumn("rep", F.when((F.col("n_words") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
-    if edges is None:
-        return out.select(F.col("doc_id").alias(key), F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     marks = label.join(degree, "node", "full").select("node", F.coalesce("class", "node").alias("class"), "n_links")
     out = out.join(marks, out.rep == marks.node, "left")
