@@ -460,7 +460,8 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
     pieces = rows.mapInArrow(piece_batches, "bucket long, content long, doc long, at long")
     settled = pieces.repartition("bucket").sortWithinPartitions("bucket", "content", "doc", "at").mapInArrow(settle_batches, "doc long, start long, length long, kind int, bucket long")
     lists = settled.groupBy("doc").agg(F.collect_list(F.struct("start", "length", "kind", "bucket")).alias("spans"))
-    fetched = by_doc.join(lists, "doc").select("doc", "text", "spans").mapInArrow(fetch_batches, "bucket long, doc long, start long, length long, bytes binary")
+    # all columns, as the last join reads them too: then Spark moves the texts only once
+    fetched = by_doc.join(lists, "doc").select("doc", "text", "spans", "doc_id").mapInArrow(fetch_batches, "bucket long, doc long, start long, length long, bytes binary")
     found = fetched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_batches, "doc long, start long, end long")
     return by_doc, found
 
