@@ -276,7 +276,8 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
                 rows = np.concatenate([np.arange(size), pair[:, 0]])
                 none = np.zeros(len(pair))
                 ids = batch.column(0).take(pa.array(rows + low))
-                spread = mix(marks.view(U64)).view(np.int64)  # text rows meet no word, so they are spread
+                names = np.array([zlib.crc32(str(x).encode()) for x in batch.column(0).slice(low, size).to_pylist()], np.int64)
+                spread = mix((marks ^ (names << 20)).view(U64)).view(np.int64)  # text rows meet no word: spread, copies too
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,

@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions, matched by an equi-join on hash prefixes.
 
-Each URL expands into (host suffix, path prefix) expressions; only prefix lengths that some rule
-has are made.  Expressions and rules meet on the first 32 bits of the SHA-256 of the expression,
+Each URL expands into (host suffix, path prefix) expressions; only path lengths that some rule
+has, and suffixes of no more labels than the deepest rule's, are made.  Expressions and rules meet on the first 32 bits of the SHA-256 of the expression,
 the full digest confirms the match, and of a URL's matches the longest rule wins (then block
 before allow, then the rule's text).
 
@@ -53,15 +53,15 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     """
     table = compiled(rules)
     few = table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    lengths = table.select(F.array_sort(F.collect_set("__length")).alias("__lengths"))  # one row; path lengths, not rules
+    lengths = sorted(r[0] for r in table.select("__length").distinct().collect())  # path lengths: no more than the longest path has characters
     rows = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url")).groupBy("__key", "__url").agg(F.count(F.lit(1)).alias("__times"))
     rows = rows.select("*", host(F.col("__url")).alias("__host"), path(F.col("__url")).alias("__path"))
     labels = F.split("__host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter("__lengths", lambda n: n <= F.length("__path"))
+    deepest = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1))).first()[0]  # no rule has more labels
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - deepest + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("__path"))
     expressions = (
-        rows.join(F.broadcast(lengths))
-        .withColumn("__suffix", F.explode_outer(F.when(F.col("__host") != "", suffixes)))
+        rows.withColumn("__suffix", F.explode_outer(F.when(F.col("__host") != "", suffixes)))
         .withColumn("__prefix", F.explode_outer(F.transform(fitting, lambda n: F.substr(F.col("__path"), F.lit(1), n))))
         .withColumn("__digest", digest(F.col("__suffix"), F.col("__prefix")))
         .withColumn("__s", short(F.col("__digest")))
