@@ -8,10 +8,11 @@ cap over weight.
 *Copies.*  A source's documents all have the copy number target / size.  Its whole part is fixed;
 the fractions are rounded dependently: two open documents are paired, and words move at random
 from one to the other (copies weighted by size, expectations kept) until one of them is whole.
-The words of a source are thus preserved up to the last open document.  Documents are dealt into
-chunks by a hash of their id; a chunk leaves at most one open document for each source, and
-these are combined in a reduction tree of ``FAN`` chunks a node.  No source, however large, meets
-in one task, and the order of rows and the number of partitions do not matter: reruns agree.
+The words of a source are thus preserved up to the last open document.  A source's documents are
+dealt into chunks by a hash of their id, as many as its documents need; a chunk leaves at most one
+open document, and these are combined in a reduction tree of ``FAN`` chunks a node.  No source,
+however large, meets in one task, and the order of rows and the number of partitions do not
+matter: reruns agree.
 
 Null texts have size 0 and are never taken; a null source is a source.  Repeated rows are
 documents of their own.  An empty table gives an empty result.
@@ -32,7 +33,7 @@ from millrace.llm.core import BUFFER, INK, buffers, materialize, text_bytes
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-CHUNK = 8192  #: documents in a chunk, about
+CHUNK = 1024  #: documents in a chunk, about
 FAN = 64
 SEED = 20_261
 EDGE = 1e-9
@@ -54,11 +55,11 @@ def size_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size, rank, target) from rows (source, size).
+    """(source, source_size, documents, rank, target) from rows (source, size).
 
     One row a source: the windows over all sources see sources, not documents.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))
     by = by.withColumn("rank", rank)
     by = by.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1))
@@ -70,7 +71,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     weight = F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), zero)
     by = by.withColumn("water", left / weight).withColumn("full", F.col("water") >= F.col("level"))
     level = F.max(F.when(~F.col("full"), F.col("water"))).over(all_)
-    return by.select("source", "source_size", "rank", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
+    return by.select("source", "source_size", "documents", "rank", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
 
 
 def pivot(size: np.ndarray, part: np.ndarray, rng: np.random.Generator, last: bool = False) -> tuple[np.ndarray, int]:
@@ -136,13 +137,13 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     sizes = materialize(rows.mapInArrow(size_batches, f"id {kind}, source string, size long"))
-    chunks = max(1, -(-sizes.count() // CHUNK))
     aims = targets(sizes)
+    chunks = max(1, -(-(aims.agg(F.max("documents")).first()[0] or 1) // CHUNK))  # of the largest source
     same = F.col("s.source").eqNullSafe(F.col("t.source"))
-    met = sizes.alias("s").join(aims.alias("t"), same).select("id", "size", "source_size", "target", F.col("rank").cast("long").alias("rank"))
+    met = sizes.alias("s").join(aims.alias("t"), same).select("id", "size", "source_size", "target", F.col("rank").cast("long").alias("rank"), F.ceil(F.col("documents") / CHUNK).alias("chunks"))
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CAP))).otherwise(0.0)
     met = met.withColumn("whole", F.floor(share)).withColumn("part", F.when(F.col("size") > 0, share - F.floor(share)).otherwise(0.0))
-    met = met.withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit(SEED))).withColumn("chunk", F.pmod("order", F.lit(chunks)))
+    met = met.withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit(SEED))).withColumn("chunk", F.pmod("order", "chunks"))
     schema = f"id {kind}, size long, source_size long, target double, rank long, whole long, part double, order long, chunk long"
     first = materialize(met.select("id", "size", "source_size", "target", "rank", "whole", "part", "order", "chunk").groupBy("rank", "chunk").applyInPandas(round_chunk, schema + ", open boolean"))
     waiting = first.where("open").select("rank", "chunk", "size", "part", "open")

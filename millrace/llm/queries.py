@@ -97,8 +97,10 @@ _RULES = " AND ".join([f"{r.measure} >= {r.low!r}::DOUBLE" for r in quality.RULE
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-i AS (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS s FROM d),
-w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM i),
+c0 AS (SELECT doc_id, h, unnest(range(0, length(h) // 2, 256)) AS b FROM d),
+c1 AS (SELECT doc_id, b, substr(h, 2 * b + 1, 710) AS part FROM c0),
+i AS (SELECT doc_id, b, part, unnest(range(0, greatest(0, length(part) // 2 - 99))) AS o FROM c1),
+w AS (SELECT doc_id, b + o AS s, md5(substr(part, 2 * o + 1, 200)) AS k FROM i),
 f AS (SELECT k, min((doc_id, s)) AS first FROM w GROUP BY k HAVING count(*) > 1),
 r AS (SELECT w.doc_id, w.s FROM w JOIN f USING (k) WHERE (w.doc_id, w.s) <> f.first),
 g AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM r),
