@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the hashed 1- to 3-grams of labelled texts in Spark; the log-probability matrix
+Training counts the hashed 1- to 3-grams of labelled texts' letters in Spark; the log-probability matrix
 (``BUCKETS`` x languages, a fixed bound) is broadcast, and batches are scored in numpy: each n-gram
 gathers its row of the matrix, and rows are summed by document.
 
@@ -13,6 +13,7 @@ labelled could be learned from.  Ties go to the label that sorts first.  Repeate
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,16 @@ MAX_LANGUAGES = 1_000
 SMOOTHING = 0.5
 PIECE = 1 << 17  #: characters that one numpy pass looks at
 UNKNOWN = "und"
+BETWEEN = re.compile(r"[\x00-\x60\x7B-\x7F]+")  #: runs of ASCII characters that are no small letters become one blank
 #: Evidence counts by this power: neighbouring n-grams overlap, so naive Bayes is too sure of itself.
 TEMPER = 0.1
 
 
 def pieces(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:
-    """(row, lower-case text) runs of about the given size; long texts are cut with 2 characters of overlap."""
+    """(row, text in lower case, its words a blank apart) runs of about the given size; long texts are cut with 2 characters of overlap."""
     rows, parts, total = [], [], 0
     for i, text in enumerate(texts):
-        text = (text or "").lower()
+        text = BETWEEN.sub(" ", (text or "").lower())
         for at in range(0, max(1, len(text)), size):
             part = text[max(0, at - 2) : at + size]
             rows.append(i)
