@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import contamination, langid, minhash, mixing, secrets
 
-SURE = 0.5  #: least posterior probability of a document's language
+SURE = 0.3  #: least posterior probability of a document's language; very short texts come near it
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
