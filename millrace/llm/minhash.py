@@ -41,6 +41,7 @@ BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
 CELL = 0.5
 FIRST = 2.0**-6  #: end of the lowest strip of ranks
+PAIRS = 1 << 17  #: units and cells that one numpy pass looks at
 BLOCK = 64  #: members that are verified against a pivot at once
 PAIR_BUCKET = 64
 ROUNDS = 3
@@ -59,13 +60,13 @@ def cells(strip: int) -> int:
     return max(1, int(np.ceil(height / CELL)))
 
 
-def poisson(u: np.ndarray, mean: float) -> np.ndarray:
-    """Poisson numbers from uniform ones."""
+def poisson_cuts(mean: float) -> np.ndarray:
+    """Where a uniform number passes from one Poisson number to the next."""
     term, steps = np.exp(-mean), []
     for i in range(1, 24):
         steps.append(term)
         term *= mean / i
-    return np.searchsorted(np.cumsum(steps), u)
+    return np.cumsum(steps)
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -84,32 +85,35 @@ def signatures(units: np.ndarray, doc: np.ndarray, n_docs: int, k: int = COORDIN
     last = np.maximum(0, np.ceil(np.log2(want / FIRST))).astype(int)
     last[size == 0] = -1
     strip = 0
-    alive = np.ones(len(units), bool)
-    while alive.any():
-        for part in range(cells(strip)):
-            low, height = cell(strip, part)
-            salt = mix(np.array([strip * 1_000_003 + part + 1], U64))[0]
-            where = np.flatnonzero(alive)
-            number = poisson(uniform(mix(units[where] ^ salt)), height)
-            hit = np.flatnonzero(number)
+    while len(units):
+        parts, count = cells(strip), len(units)
+        low, height = cell(strip, 0)
+        cuts = poisson_cuts(height)
+        salts = mix(np.arange(1, parts + 1, dtype=U64) + U64(strip * 1_000_003))
+        step = max(1, PAIRS // count)
+        for begin in range(0, parts, step):  # some cells at once, for all units that still read
+            salt = salts[begin : begin + step]
+            u = uniform(mix((units ^ salt[:, None]).ravel()))
+            hit = np.flatnonzero(u > cuts[0])
+            number = np.searchsorted(cuts, u[hit])
             thrown = 0
             while len(hit):
-                at = where[hit]
+                part, at = np.divmod(hit, count)
                 with np.errstate(over="ignore"):
-                    dart = mix(units[at] * U64(BASE) ^ mix(np.array([thrown], U64) + salt))
+                    dart = mix(units[at] * U64(BASE) ^ mix(salt + U64(thrown))[part])
                 slot = doc[at] * k + (dart % U64(k)).astype(np.int64)
-                rank = low + height * uniform(mix(dart))
-                before = best[slot]
-                better = rank < before
+                rank = low + height * (begin + part + uniform(mix(dart)))
+                better = rank < best[slot]
                 slot, rank, dart = slot[better], rank[better], dart[better]
                 np.minimum.at(best, slot, rank)
                 first = best[slot] == rank
                 kept[slot[first]] = dart[first]
                 thrown += 1
-                hit = hit[number[hit] > thrown]
-        full = np.isfinite(best.reshape(n_docs, k)).all(1)
+                more = number > thrown
+                hit, number = hit[more], number[more]
         strip += 1
-        alive &= ~(full & (last < strip))[doc]
+        reading = ~(np.isfinite(best.reshape(n_docs, k)).all(1) & (last < strip))[doc]
+        units, doc = units[reading], doc[reading]
     return kept.reshape(n_docs, k)
 
 
