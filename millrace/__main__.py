@@ -9,8 +9,9 @@ def main(args: list[str]) -> int:
     from millrace import __version__
     from millrace.plans import pipeline, scaffold
     from millrace.plans.session import session
-    from millrace.plans.steps import STEPS
+    from millrace.plans.steps import STEPS, load
 
+    load()
     match args:
         case ["version"]:
             print(__version__)

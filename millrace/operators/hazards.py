@@ -65,3 +65,9 @@ def admission(tasks: DataFrame, by: list[str], order: str, memory: str, seconds:
 def outcomes(results: DataFrame, by: list[str], code: str) -> DataFrame:
     """Completed and failed tasks."""
     return results.groupBy(*by).agg(F.count_if(F.col(code) == 0).alias("completed"), F.count_if(F.col(code) != 0).alias("failed"))
+
+
+def wall_time(results: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """Seconds from the first start to the last end."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    return results.groupBy(*by).agg((seconds(F.max(end)) - seconds(F.min(start))).alias("seconds"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 import shlex
 import subprocess
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,19 @@ def step(name: str) -> Callable[[Step], Step]:
     return put
 
 
+def load(search_path: str | None = None) -> list[str]:
+    """Runs the step modules (``*/*Plugin.py``) of each folder of a ``:``-separated search path, in order;
+    it ends at an empty entry.  Returns the names that were registered.  Default: ``$MILLRACE_PATH``."""
+    before = dict(STEPS)
+    for folder in (search_path if search_path is not None else os.environ.get("MILLRACE_PATH", "")).split(":"):
+        if not folder:
+            break
+        for file in sorted(Path(folder).glob("*/*Plugin.py")):
+            spec = importlib.util.spec_from_file_location(file.stem, file)
+            spec.loader.exec_module(importlib.util.module_from_spec(spec))
+    return sorted(n for n in STEPS if STEPS[n] is not before.get(n))
+
+
 @step("ScanTable")
 def scan_table(ctx: Context, df: DataFrame) -> DataFrame:
     """The input as it is, or its columns named by ``columns``."""

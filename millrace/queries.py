@@ -251,6 +251,11 @@ def result_partition(spark, sf_dir):
     return hazards.outcomes(read(spark, sf_dir, "lineitem").withColumn("code", F.col("l_linenumber") % 3), ["l_returnflag"], "code")
 
 
+@query("SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 3) AS seconds FROM events GROUP BY user_id")
+def wall_time(spark, sf_dir):
+    return hazards.wall_time(read(spark, sf_dir, "events"), ["user_id"], "ts", "ts").withColumn("seconds", F.round("seconds", 3))
+
+
 # Sets and catalogs
 
 

@@ -71,6 +71,17 @@ def test_command_step_and_scaffold(spark):
     assert STEPS.pop("Mine") is again
 
 
+def test_steps_are_loaded_from_a_search_path(tmp_path):
+    for root in ("one", "two", "three"):
+        (tmp_path / root / "p").mkdir(parents=True)
+        (tmp_path / root / "p" / f"X{root}Plugin.py").write_text(f"from millrace.plans.steps import step\n\n\n@step('X{root}')\ndef f(ctx, df):\n    return df\n")
+    from millrace.plans.steps import load
+
+    assert load(f"{tmp_path}/one:{tmp_path}/two::{tmp_path}/three") == ["Xone", "Xtwo"]
+    assert load("") == []
+    del STEPS["Xone"], STEPS["Xtwo"]
+
+
 def test_stream_counts_equal_table_counts(spark, tmp_path):
     from millrace.streaming import windows
 
