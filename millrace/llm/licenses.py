@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm.core import BUFFER, WORD, Roller, buffers, text_bytes, word_grams, words_of
 
 K = 3
+BROADCAST_GRAMS = 100_000  #: k-grams of all templates
 SLACK = 4  #: words by which neighbouring diagonals of one span may differ
 COVER = 0.6  #: share of the template's words that a span must cover
 STRETCH = 1.5  #: longest span, as a multiple of the template's length
@@ -95,7 +96,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base: Sequence[
     score and spans (label, first word, words of the verified spans)."""
     spark = df.sparkSession
     rows = template_rows(base, templates, k)
-    table = F.broadcast(spark.createDataFrame(rows, "hash long, template int, label string, is_base boolean, grams int, words int, at int"))
+    table = spark.createDataFrame(rows, "hash long, template int, label string, is_base boolean, grams int, words int, at int")
+    table = F.broadcast(table) if len(rows) <= BROADCAST_GRAMS else table
     wanted = np.unique(np.array([r[0] for r in rows], np.int64).view(np.uint64))
     kind = df.schema[key].dataType.simpleString()
     hits = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scan_batches(wanted, k), f"key {kind}, mark long, n_words long, hits array<struct<place: long, hash: long>>")

@@ -268,6 +268,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     central = member.groupBy("rep").agg(F.sum("n").alias("met"))
     member = materialize(member.join(central, "rep"))
 
+    # Rounds below fetch texts from this part of them only: those that meet any other in a bucket.
+    texts = materialize(texts.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+
     # Each text is first compared with one hub, the most central of its buckets' pivots.
     pivot = member.groupBy("band", "key").agg(F.max(F.struct("met", F.negative("rep").alias("low"), "rep")).alias("p")).select("band", "key", "p.met", "p.low", F.col("p.rep").alias("a"))
     pairs = member.drop("met").join(pivot, ["band", "key"]).where("rep <> a").groupBy("rep").agg(F.max_by("a", F.struct("met", "low")).alias("a")).select("a", F.col("rep").alias("b"))
