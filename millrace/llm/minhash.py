@@ -13,9 +13,12 @@ similarity.  With ``unit`` weights (the default for near duplicates) that is the
 documents that share a band meet in a bucket.  A bucket does not list its pairs: each text is
 verified against one hub (of its buckets' pivots, the one that meets most others over all bands),
 and verified links are merged into components.  Then buckets that hold several components are
-looked at again: what lies outside the bucket's main one is compared in buckets of up to
-``PAIR_BUCKET`` members, left-over by other; larger buckets go through ``ROUNDS`` more pivots
-instead.  Pairs that their sizes, or what both share with their hub, rule out are not compared.
+looked at again: what lies outside the bucket's main component is compared with the rest of the
+bucket, all of it at once in buckets of up to ``PAIR_BUCKET`` members.  Of larger ones, a round
+takes a hashed part of what lies outside as heads, 1, then ``GROWTH`` times as many and so on, until
+a round took all that is left: most merge in the first rounds, and no pair of a bucket that could
+join two components stays untested.  Pairs that their sizes, or what both share with their hub,
+or bitmaps of their shingles rule out are not compared.
 
 Verification is exact: the Jaccard similarity of the shingle sets, ``SIMILARITY`` or more.  A text
 of fewer than five words has one shingle, all its words.  Words are those of the text in lower
@@ -44,7 +47,9 @@ FIRST = 2.0**-6  #: end of the lowest strip of ranks
 PAIRS = 1 << 17  #: units and cells that one numpy pass looks at
 BLOCK = 64  #: members that are verified against a pivot at once
 PAIR_BUCKET = 64
-ROUNDS = 3
+GROWTH = 16  #: how many times more heads a further round takes of a larger bucket
+MASK = (1 << 40) - 1
+BITS = 8  #: 64-bit words of the bitmap of a text's shingles
 
 
 def cell(strip: int, part: int) -> tuple[float, float]:
@@ -154,6 +159,14 @@ def lower_bytes(column) -> list[bytes]:
     return [x.lower().encode("utf-8", "surrogatepass") if x else b"" for x in column.to_pylist()]
 
 
+def bitmaps(grams: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """``BITS`` 64-bit words a document; each shingle sets one bit."""
+    out = np.zeros((n_docs, BITS), U64)
+    bit = mix(grams ^ U64(BASE)) % U64(64 * BITS)
+    np.bitwise_or.at(out, (doc, (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
+    return out
+
+
 def signature_batches(weights: str, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
@@ -168,16 +181,20 @@ def signature_batches(weights: str, bands: int, rows: int):
                     for r in range(rows):
                         keys = mix(keys * U64(BASE) + found[:, r::rows])
                 sizes = np.bincount(weight_units(grams, of, "unit")[1] if weights != "unit" else doc, minlength=high - low)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n_words.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), pa.array(sizes.astype(np.int64)), lists], ["doc_id", "n_words", "d1", "d2", "size", "bands"])
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * wide.shape[1]), pa.array(wide.view(np.int64).ravel()))
+                    for wide in (keys, bitmaps(grams, of, high - low))
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n_words.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), pa.array(sizes.astype(np.int64)), *lists], ["doc_id", "n_words", "d1", "d2", "size", "bands", "bits"])
 
     return run
 
 
 def signed(df: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "unit", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_words, d1, d2 (digests of the words), size (shingles) and bands of each row."""
+    """doc_id, n_words, d1, d2 (digests of the words), size (shingles), bands and bits (bitmap of
+    the shingles) of each row."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(signature_batches(weights, bands, rows), f"doc_id {kind}, n_words long, d1 long, d2 long, size long, bands array<long>")
+    return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(signature_batches(weights, bands, rows), f"doc_id {kind}, n_words long, d1 long, d2 long, size long, bands array<long>, bits array<long>")
 
 
 def verify_group(table: pa.Table) -> pa.Table:
@@ -248,12 +265,18 @@ def components(edges: DataFrame) -> DataFrame:
 def may_link(similarity: float):
     """Whether sizes, and what both share with a common hub, leave room for the similarity.
 
-    Two sets share at most the lesser part of the hub that either has, and the lesser rest.
+    Two sets share at most the lesser part of the hub that either has, and the lesser rest.  Each
+    bit that only one of two bitmaps has set stands for a shingle, at least, that the other lacks.
     """
-    small, large = F.least("size", "size_"), F.greatest("size", "size_")
-    most = F.least("common", "common_") + F.least(F.col("size") - F.col("common"), F.col("size_") - F.col("common_"))
-    room = most / (F.col("size") + F.col("size_") - most) >= similarity - 1e-9
-    return (small >= (similarity - 1e-9) * large) & ((F.col("hub") != F.col("hub_")) | room)
+    need = similarity / (1 + similarity) * (F.col("size") + F.col("size_")) - 1e-6  # shared shingles
+    by_hub = F.least("common", "common_") + F.least(F.col("size") - F.col("common"), F.col("size_") - F.col("common_"))
+
+    def lacks(a: str, b: str):
+        return sum(F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(BITS))
+
+    fits = F.least("size", "size_") >= need
+    fits &= (F.col("hub") != F.col("hub_")) | (by_hub >= need)
+    return fits & (F.col("size") - lacks("bits", "bits_") >= need) & (F.col("size_") - lacks("bits_", "bits") >= need)
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weights: str = "unit") -> DataFrame:
@@ -261,7 +284,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     text to other texts) of each row of df."""
     texts = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col(key).isNotNull())
     rows = materialize(signed(df, key, text, weights))
-    texts_of = materialize(rows.where("n_words > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("size").alias("size")))
+    texts_of = materialize(rows.where("n_words > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits")))
+    bits = texts_of.select("rep", "bits")
     member = texts_of.select("rep", "size", F.posexplode("bands").alias("band", "key"))
     crowd = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = member.join(crowd, ["band", "key"])
@@ -282,18 +306,22 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     # pivots count as their own hubs, unless they were compared with another one
     member = materialize(member.join(hub, "rep", "left").withColumns({"hub": F.coalesce("hub", "rep"), "common": F.coalesce("common", "size")}))
     label = components(edges)
-    for turn in range(ROUNDS):
-        now = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        main = now.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "key").agg(F.max(F.struct("m", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    heads, exhausted = 1, False
+    while not exhausted:
+        now = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep")).join(bits, "rep")
+        sizes = now.groupBy("band", "key", "n", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "key", "n").agg(F.max(F.struct("m", "class")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))
+        main = materialize(sizes.where("parts > 1").select("band", "key", F.col("top.class").alias("main"), (F.col("all") - F.col("top.m")).alias("left")))
         open_ = now.join(main, ["band", "key"])
-        apart = open_.where("class <> main").select("band", "key", "n", *[F.col(c).alias(f"{c}_") for c in ("rep", "class", "size", "hub", "common", "met")])
-        first = apart.groupBy("band", "key").agg(F.max_by(F.struct(*apart.columns[2:]), F.struct("met_", F.negative("rep_").alias("low"))).alias("f")).select("band", "key", "f.*")
-        heads = first if turn else first.where(f"n > {PAIR_BUCKET}").unionByName(apart.where(f"n <= {PAIR_BUCKET}"))
-        met = open_.join(heads.drop("n"), ["band", "key"]).where(F.col("class") != F.col("class_")).where(may_link(similarity))
+        part = F.when(F.col("n") <= PAIR_BUCKET, 1.0).otherwise(F.lit(float(heads)) / F.col("left"))
+        apart = open_.where("class <> main").where((F.xxhash64("rep").bitwiseAND(F.lit(MASK)) / MASK) <= part)
+        apart = apart.select("band", "key", *[F.col(c).alias(f"{c}_") for c in ("rep", "class", "size", "hub", "common", "bits")])
+        met = open_.join(apart, ["band", "key"]).where(F.col("class") != F.col("class_")).where(may_link(similarity))
         pairs = met.select(F.least("rep_", "rep").alias("a"), F.greatest("rep_", "rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
+        large = main.join(crowd.where(f"n > {PAIR_BUCKET}"), ["band", "key"]).agg(F.max("left")).first()[0] or 0
+        exhausted, heads = large <= heads, heads * GROWTH
         if pairs.isEmpty():
-            break
+            continue
         tested = tested.unionByName(pairs)
         found = materialize(verify(pairs, texts).where(F.col("similarity") >= similarity).select("a", "b").distinct())
         if not found.isEmpty():

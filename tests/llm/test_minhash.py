@@ -59,6 +59,35 @@ def test_classes_match_brute_force(spark):
         assert got == brute(docs)
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Rounds of heads, as in buckets over PAIR_BUCKET: many variants of one text, some of them far apart."""
+    monkeypatch.setattr(minhash, "PAIR_BUCKET", 3)
+    monkeypatch.setattr(minhash, "GROWTH", 2)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            text[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        docs.append((i, " ".join(text)))
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute(docs)
+    assert len(set(want.values())) > 3
+    assert got == want
+
+
+def test_bounds_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for size in (20, 200, 3000):
+        a = mix(rng.integers(0, 1 << 60, size).astype(np.uint64))
+        b = np.concatenate([a[size // 10 :], mix(rng.integers(0, 1 << 60, 3).astype(np.uint64))])
+        bits = minhash.bitmaps(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+        lacks = lambda x, y: sum(int(v).bit_count() for v in x & ~y)
+        both = len(set(a.tolist()) & set(b.tolist()))
+        assert both <= len(a) - lacks(bits[0], bits[1]) and both <= len(b) - lacks(bits[1], bits[0])
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = corpus(4)
     df = spark.createDataFrame(docs, "doc_id long, text string")
