@@ -15,9 +15,9 @@ verified against one hub (of its buckets' pivots, the one that meets most others
 and verified links are merged into components.  Then buckets that hold several components are
 looked at again: what lies outside the bucket's main component is compared with the rest of the
 bucket, all of it at once in buckets of up to ``PAIR_BUCKET`` members.  Of larger ones, a round
-takes a hashed part of what lies outside as heads, 1, then ``GROWTH`` times as many and so on, until
-a round took all that is left: most merge in the first rounds, and no pair of a bucket that could
-join two components stays untested.  Pairs that their sizes, or what both share with their hub,
+takes a hashed part of what lies outside as heads, ``HEADS``, then ``GROWTH`` times as many and so
+on, until a round took all that is left: most merge in the first round, and no pair of a bucket
+that could join two components stays untested.  Pairs that their sizes, or what both share with their hub,
 or bitmaps of their shingles rule out are not compared.
 
 Verification is exact: the Jaccard similarity of the shingle sets, ``SIMILARITY`` or more.  A text
@@ -47,7 +47,7 @@ FIRST = 2.0**-6  #: end of the lowest strip of ranks
 PAIRS = 1 << 17  #: units and cells that one numpy pass looks at
 BLOCK = 64  #: members that are verified against a pivot at once
 PAIR_BUCKET = 64
-GROWTH = 16  #: how many times more heads a further round takes of a larger bucket
+HEADS, GROWTH = 16, 256  #: heads that the first round takes of a larger bucket, and how many times more each further one
 MASK = (1 << 40) - 1
 BITS = 8  #: 64-bit words of the bitmap of a text's shingles
 
@@ -250,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node go to the least of its neighbours and itself
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: neighbours below a node, and the node, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -306,7 +306,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     # pivots count as their own hubs, unless they were compared with another one
     member = materialize(member.join(hub, "rep", "left").withColumns({"hub": F.coalesce("hub", "rep"), "common": F.coalesce("common", "size")}))
     label = components(edges)
-    heads, exhausted = 1, False
+    heads, exhausted = HEADS, False
     while not exhausted:
         now = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep")).join(bits, "rep")
         sizes = now.groupBy("band", "key", "n", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("band", "key", "n").agg(F.max(F.struct("m", "class")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))

@@ -62,7 +62,8 @@ def test_classes_match_brute_force(spark):
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """Rounds of heads, as in buckets over PAIR_BUCKET: many variants of one text, some of them far apart."""
     monkeypatch.setattr(minhash, "PAIR_BUCKET", 3)
-    monkeypatch.setattr(minhash, "GROWTH", 2)
+    monkeypatch.setattr(minhash, "HEADS", 1)
+    monkeypatch.setattr(minhash, "GROWTH", 3)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     docs = []
