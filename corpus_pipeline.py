@@ -6,8 +6,10 @@ before it kept, and its decisions take effect.  All but the last return the colu
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,26 @@ from millrace.llm import contamination, langid, minhash, mixing, secrets
 SURE = 0.3  #: least posterior probability of a document's language; very short texts come near it
 
 
+#: Rows of one Arrow batch.  Texts are long: at Spark's own 10,000 rows a batch takes tens of MB in
+#: the JVM, off its heap, and several times that in the Python worker.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with batches of ``BATCH_ROWS`` rows at most in its session."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(name))
+        if not 0 < now <= BATCH_ROWS:  # 0 and less: no limit
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; the model learns from the labelled ones."""
     model = langid.train(docs)
@@ -24,23 +46,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.select(docs.columns)
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class, that of the least doc_id."""
     return minhash.deduplicate(docs).select(docs.columns)
 
 
+@in_small_batches
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination.decontaminate(docs, items).select(docs.columns)
 
 
+@in_small_batches
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; n_chars follows the text, and every document stays."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else clean
 
 
+@in_small_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of their copies."""
     return mixing.mixture(docs)
