@@ -379,6 +379,16 @@ def token_pairs(spark, sf_dir):
     return rows.select("doc_id", F.col("pair").cast("long").alias("pair"), F.get("w", F.col("pair") * 2).alias("key"), F.get("w", F.col("pair") * 2 + 1).alias("value"))
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) // 2)) AS i FROM d)
+SELECT doc_id, w[2 * i + 1] AS key, arg_max(w[2 * i + 2], i) AS value FROM p GROUP BY doc_id, key""")
+def token_parameters(spark, sf_dir):
+    """All tokens of all texts, as a stream of key and value; the last value of a key counts."""
+    whole = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
+    return files.token_parameters(whole, "doc_id")
+
+
 # Comparison
 
 

@@ -58,10 +58,12 @@ def table_parameters(rows: DataFrame, by: str = "file") -> DataFrame:
 
 def token_parameters(whole: DataFrame, by: str = "file") -> DataFrame:
     """The same from a stream of tokens: key, value, key, value, whatever the line; a last key
-    without a value is left out."""
-    pairs = whole.select(by, F.posexplode(tokens(F.col("value"))).alias("n", "token")).withColumn("pair", F.floor(F.col("n") / 2))
-    pairs = pairs.groupBy(by, "pair").agg(F.min_by("token", "n").alias("key"), F.max_by("token", "n").alias("value"), F.count(F.lit(1)).alias("size")).where("size = 2")
-    return pairs.groupBy(by, "key").agg(F.max_by("value", "pair").alias("value"))
+    without a value is left out.  Pairs are made within a row, so rows with one file stay streams of
+    their own; of one key at one place in several of them the greatest value counts."""
+    words = tokens(F.col("value"))
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / 2).cast("int") - 1), lambda i: F.struct(F.get("words", 2 * i).alias("key"), F.get("words", 2 * i + 1).alias("value")))
+    pairs = whole.select(by, words.alias("words")).where(F.size("words") >= 2).select(by, F.posexplode(each).alias("pair", "p"))
+    return pairs.groupBy(by, F.col("p.key").alias("key")).agg(F.max_by("p.value", F.struct("pair", "p.value")).alias("value"))
 
 
 def as_map(pairs: DataFrame, by: str = "file") -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.sources import files, sinks
 
 
@@ -17,6 +18,13 @@ def test_lines_parameters_and_sequences(spark, tmp_path):
     assert [r.value for r in files.sequence(rows).orderBy("pos").collect()] == ["a\t1", "no tab", "b\t 2", "a\t3\t4"]
 
 
+def test_token_parameters_query_reads_every_token(spark, tmp_path):
+    texts = [(1, "a 1 b 2 c 3 d 4 a 5 odd"), (2, "one"), (3, None), (4, " x y\n"), (5, "k v"), (5, "k2 v2 k3 v3")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.QUERIES["token_parameters"](spark, str(tmp_path)).collect())
+    assert got == [(1, "a", "5"), (1, "b", "2"), (1, "c", "3"), (1, "d", "4"), (4, "x", "y"), (5, "k", "v"), (5, "k2", "v2"), (5, "k3", "v3")]
+
+
 def test_formats(spark, tmp_path):
     for kind in ("parquet", "json", "orc"):
         spark.range(3).write.format(kind).save(str(tmp_path / kind))
