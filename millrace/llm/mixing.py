@@ -9,13 +9,14 @@ cap over weight.
 the fractions are rounded dependently: two open documents are paired, and words move at random
 from one to the other (copies weighted by size, expectations kept) until one of them is whole.
 The words of a source are thus preserved up to the last open document.  A source's documents are
-dealt into chunks by a hash of their id, as many as its documents need; a chunk leaves at most one
+dealt into chunks by a hash of their id, text and number among equal rows, as many as its documents need; a chunk leaves at most one
 open document, and these are combined in a reduction tree of ``FAN`` chunks a node.  No source,
 however large, meets in one task, and the order of rows and the number of partitions do not
 matter: reruns agree.
 
-Null texts have size 0 and are never taken; a null source is a source.  Repeated rows are
-documents of their own.  An empty table gives an empty result.
+Null texts have size 0 and are never taken; a null source is a source.  Every row is a document of
+its own, with its own decision, also where ids are null or repeat; equal rows are numbered, so
+none of these meet in one chunk.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ EDGE = 1e-9
 
 
 def size_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, source, text) to (id, source, words)."""
+    """(text, ...) to (..., size): its words."""
     for batch in batches:
-        texts = text_bytes(batch.column(2))
+        texts = text_bytes(batch.column(0))
         sizes = np.zeros(len(texts), np.int64)
         for low, high in buffers(texts):
             raw = np.frombuffer(b"\n".join(texts[low:high]) + b"\n", np.uint8)
@@ -51,7 +52,7 @@ def size_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins[1:] &= ~ink[:-1]
             ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts[low:high]), np.int64, high - low))
             sizes[low:high] = np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes)], ["id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes)], [*batch.schema.names[1:], "size"])
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -114,7 +115,7 @@ def generator(*numbers: int) -> np.random.Generator:
 
 def round_chunk(frame: pd.DataFrame) -> pd.DataFrame:
     """One source's documents of one chunk; near sizes stand together, so little moves far."""
-    frame = frame.sort_values(["size", "order", "id"], kind="stable", na_position="last").reset_index(drop=True)
+    frame = frame.sort_values(["size", "order", "row"], kind="stable").reset_index(drop=True)
     value, open_ = pivot(frame["size"].to_numpy(), frame["part"].to_numpy(), generator(0, frame["rank"].iloc[0], frame["chunk"].iloc[0]))
     frame["open"] = np.arange(len(frame)) == open_
     frame["part"] = value
@@ -132,20 +133,25 @@ def round_node(level: int, last: bool):
     return run
 
 
-def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, size, source_size, target and taken (words, repeats counted) of each row of df."""
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    sizes = materialize(rows.mapInArrow(size_batches, f"id {kind}, source string, size long"))
+def decided(rows: DataFrame, kind: str) -> DataFrame:
+    """row, id, size, source_size, target and copies from (text, id, source, row, rest).
+
+    ``row`` is any number of its own for each row.  It only tells apart rows of one id, source and
+    text, and of those only the ones that are equal in ``rest`` too, the hash of what else they hold.
+    """
+    rows = rows.select("text", "id", "source", "row", "rest", F.xxhash64("text", F.lit(SEED)).alias("digest"))
+    sizes = materialize(rows.mapInArrow(size_batches, f"id {kind}, source string, row long, rest long, digest long, size long"))
     aims = targets(sizes)
     chunks = max(1, -(-(aims.agg(F.max("documents")).first()[0] or 1) // CHUNK))  # of the largest source
     same = F.col("s.source").eqNullSafe(F.col("t.source"))
-    met = sizes.alias("s").join(aims.alias("t"), same).select("id", "size", "source_size", "target", F.col("rank").cast("long").alias("rank"), F.ceil(F.col("documents") / CHUNK).alias("chunks"))
+    number = F.row_number().over(Window.partitionBy("id", "source", "digest").orderBy("rest", "row"))
+    order = F.xxhash64(F.col("id").cast("string"), F.lit(SEED), "digest", number)
+    met = sizes.withColumn("order", order).alias("s").join(aims.alias("t"), same).select("row", "order", "size", "source_size", "target", F.col("rank").cast("long").alias("rank"), F.ceil(F.col("documents") / CHUNK).alias("chunks"))
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CAP))).otherwise(0.0)
     met = met.withColumn("whole", F.floor(share)).withColumn("part", F.when(F.col("size") > 0, share - F.floor(share)).otherwise(0.0))
-    met = met.withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit(SEED))).withColumn("chunk", F.pmod("order", "chunks"))
-    schema = f"id {kind}, size long, source_size long, target double, rank long, whole long, part double, order long, chunk long"
-    first = materialize(met.select("id", "size", "source_size", "target", "rank", "whole", "part", "order", "chunk").groupBy("rank", "chunk").applyInPandas(round_chunk, schema + ", open boolean"))
+    met = met.withColumn("chunk", F.pmod("order", "chunks"))
+    schema = "row long, size long, source_size long, target double, rank long, whole long, part double, order long, chunk long"
+    first = materialize(met.select("row", "size", "source_size", "target", "rank", "whole", "part", "order", "chunk").groupBy("rank", "chunk").applyInPandas(round_chunk, schema + ", open boolean"))
     waiting = first.where("open").select("rank", "chunk", "size", "part", "open")
     settled = None
     level, width = 1, chunks
@@ -162,15 +168,26 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ends = first.where("NOT open").withColumn("rounded", F.col("part"))
     opened = first.where("open").join(settled, ["rank", "chunk"])
     out = ends.unionByName(opened)
-    taken = (F.col("whole") + F.col("rounded").cast("long")) * F.col("size")
-    return out.select(F.col("id").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("rounded").cast("long")).otherwise(0)
+    out = out.select("row", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return sizes.select("row", "id").join(out, "row")
+
+
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """key, size, source_size, target and taken (words, repeats counted) of each row of df."""
+    rows = df.select(F.col(text).alias("text"), F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("rest"))
+    out = decided(rows, df.schema[key].dataType.simpleString())
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of df with ``copies``: how often the mix takes each (0: it leaves the row out).
+    """The rows of df with ``copies``: how often the mix takes each (rows with 0 are left out).
 
-    Rows of one key share a key's decision, the most copies that any of them got.
+    The rows are numbered and written once, and each gets its own copies back by its number.
     """
-    plan = mixed(df, key, text, source)
-    copies = plan.groupBy(key).agg(F.max(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)).cast("int").alias("copies"))
-    return df.drop("copies").join(copies, key, "left").where("copies > 0")
+    df = df.drop("copies")
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    rest = [c for c in df.columns if c not in (key, text, source)]
+    rows = numbered.select(F.col(text).alias("text"), F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.col("_row").alias("row"), F.xxhash64(F.lit(SEED), *rest).alias("rest"))
+    plan = decided(rows, df.schema[key].dataType.simpleString()).where("copies > 0").select(F.col("row").alias("_row"), "copies")
+    return numbered.join(plan, "_row").select(*df.columns, "copies")

@@ -80,3 +80,30 @@ def test_empty_repeated_and_wordless_rows(spark):
     got = mixing.mixed(spark.createDataFrame([(1, "s", "a b"), (1, "s", "a b"), (None, None, None)], kind)).collect()
     assert sorted((r.doc_id or 0, r.size, r.source_size) for r in got) == [(0, 0, 0), (1, 2, 4), (1, 2, 4)]
     assert sum(r.taken for r in got) == 6
+
+
+def test_null_and_repeated_ids_keep_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    texts = ["w " * (1 + i % 9) + f"t{i}" for i in range(90)] + ["same text"] * 60
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t, "s", i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n long")
+    got = mixing.mixture(df).collect()
+    assert sorted(r.n for r in got) == list(range(150)) and {r.copies for r in got} == {1, 2}
+    assert {r.n: r.doc_id for r in got} == {r[3]: r[0] for r in data}
+    total = sum(size(t) for t in texts)
+    assert abs(sum(size(r.text) * r.copies for r in got) - 1.5 * total) <= 10
+    again = mixing.mixture(df.repartition(7)).collect()
+    assert sorted((r.n, r.copies) for r in got) == sorted((r.n, r.copies) for r in again)
+
+
+def test_equal_and_null_ids_do_not_meet_in_one_chunk(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    whole = mixing.round_chunk
+
+    def counted(frame):
+        assert len(frame) < 40, "one chunk holds rows that should be dealt"
+        return whole(frame)
+
+    monkeypatch.setattr(mixing, "round_chunk", counted)
+    data = [(None if i % 2 else 7, "s", "same text") for i in range(200)]
+    assert mixing.mixed(spark.createDataFrame(data, "doc_id long, source string, text string")).count() == 200

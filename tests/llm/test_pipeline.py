@@ -65,6 +65,20 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(tuple(r) for r in whole.collect()) == sorted(tuple(r) for r in docs.collect())
 
 
+def test_null_and_repeated_ids_through_all_stages(spark, tmp_path):
+    rows, items = documents()
+    folder = str(tmp_path)
+    plain = [r for r in rows[:200] if r[0] % 8 in (0, 5, 6, 7)]
+    rows = [((None, 7, r[0] + 1000)[i % 3], r[1], r[2], "s", r[4]) for i, r in enumerate(plain)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(rows, KIND).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(r.text for r in got) == sorted(r[1] for r in rows)
+    assert {r.text: r.doc_id for r in got} == {r[1]: r[0] for r in rows}
+    words = [len(r[1].split()) for r in rows]
+    assert abs(sum(len(r.text.split()) * r.copies for r in got) - 1.5 * sum(words)) <= max(words)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
