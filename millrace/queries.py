@@ -150,6 +150,19 @@ def kitty_scope(spark, sf_dir):
     return scope.prefix_scope(lines, "user_id", "event_id").select("event_id", "user_id", "prefix")
 
 
+@query("""
+WITH k AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'P' WHEN 'click' THEN 'K' ELSE 'X' END AS w FROM events),
+s AS (SELECT *, count(CASE WHEN w = 'P' THEN 1 END) OVER o AS g, last_value(CASE WHEN w = 'P' THEN 'p' || event_id || '/' END IGNORE NULLS) OVER o AS own FROM k WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, last_value(CASE WHEN w = 'K' THEN 'k' || event_id || '/' END IGNORE NULLS) OVER i AS child, string_agg(CASE WHEN w = 'K' THEN 'k' || event_id || '/' END, '') OVER i AS nested FROM s WINDOW i AS (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, user_id, CASE WHEN g > 0 THEN own || coalesce(child, '') ELSE coalesce(nested, '') END AS prefix FROM t""")
+def kitty_scope_whole(spark, sf_dir):
+    """The same over all events."""
+    word = F.when(F.col("event_type") == "signup", "Prefix").when(F.col("event_type") == "click", "Kitty").otherwise("Plugin")
+    small = F.when(F.col("event_type") == "signup", "p").otherwise("k")
+    lines = read(spark, sf_dir, "events").select("event_id", "user_id", word.alias("keyword"), F.array(word, F.concat(small, F.col("event_id").cast("string"))).alias("tokens"))
+    return scope.prefix_scope(lines, "user_id", "event_id").select("event_id", "user_id", "prefix")
+
+
 @query("""
 WITH b AS (SELECT event_id, user_id, count(CASE WHEN event_type = 'signup' THEN 1 END) OVER o AS block, last_value(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 0 END IGNORE NULLS) OVER o AS mark FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, user_id, block::BIGINT AS block, coalesce(mark, 0) = 1 AS inside FROM b""")
@@ -329,6 +342,18 @@ def include_closure(spark, sf_dir):
     return catalog.closure(read(spark, sf_dir, "customer").where("c_custkey < 20").select("c_custkey"), edges.distinct())
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT max(c_custkey) + 1 AS n FROM customer),
+e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % n AS dst FROM orders, n),
+r AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT dst FROM r JOIN e ON r.node = e.src) SELECT node FROM r""")
+def include_closure_whole(spark, sf_dir):
+    """All orders are edges, to targets spread over all customers; one segment's customers are the starts."""
+    customer = read(spark, sf_dir, "customer")
+    n = customer.agg((F.max("c_custkey") + 1).alias("n"))
+    edges = read(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % F.col("n")).alias("dst"))
+    return catalog.closure(customer.where("c_mktsegment = 'BUILDING'").select("c_custkey"), edges.distinct())
+
+
 # Requirements
 
 
@@ -404,6 +429,18 @@ def golden_diff(spark, sf_dir):
     return golden.difference(*_sides(spark, sf_dir))
 
 
+@query("""
+WITH l AS (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem),
+a AS (SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_partkey % 10 = 0 THEN 'x' ELSE l_returnflag END AS l_returnflag FROM l),
+b AS (SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_partkey % 15 = 0 THEN 'x' ELSE l_returnflag END AS l_returnflag FROM l)
+SELECT *, 'got' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'expected' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def golden_diff_whole(spark, sf_dir):
+    """Both sides hold every line; some have another flag."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    got, expected = (lines.withColumn("l_returnflag", F.when(F.col("l_partkey") % k == 0, "x").otherwise(F.col("l_returnflag"))) for k in (10, 15))
+    return golden.difference(got, expected)
+
+
 @query("""
 WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 d AS (SELECT o_custkey, n, o_totalprice AS got, o_totalprice + CASE WHEN o_orderkey % 4 = 0 THEN 0.5 WHEN o_orderkey % 4 = 1 THEN 1e-10 ELSE 0 END AS expected FROM o)
