@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import importlib.util
+import io
+import itertools
 import os
 import shlex
 import subprocess
+import tempfile
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -105,13 +109,34 @@ def command_line(params: Mapping[str, str]) -> list[str]:
     return out
 
 
-def pipe(lines: DataFrame, program: list[str]) -> DataFrame:
+def pipe(lines: DataFrame, program: list[str], rows: int = 10_000) -> DataFrame:
+    """One process for each partition that has lines; its output goes to a file until it ends well."""
     import pandas as pd
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            text = "".join(f"{v}\n" for v in frame["value"])
-            done = subprocess.run(program, input=text, text=True, capture_output=True, check=True)
-            yield pd.DataFrame({"value": done.stdout.splitlines()})
+        process = None
+        with tempfile.TemporaryFile() as out, tempfile.TemporaryFile() as err:
+            try:
+                for frame in frames:
+                    if process is None and len(frame):
+                        process = subprocess.Popen(program, stdin=subprocess.PIPE, stdout=out, stderr=err)
+                    with contextlib.suppress(BrokenPipeError):  # a program may stop reading early
+                        if process is not None:
+                            process.stdin.write("".join(f"{v}\n" for v in frame["value"]).encode())
+                if process is None:
+                    return
+                with contextlib.suppress(BrokenPipeError):
+                    process.stdin.close()
+                if process.wait():
+                    err.seek(0)
+                    raise subprocess.CalledProcessError(process.returncode, program, stderr=err.read().decode(errors="replace"))
+            finally:
+                if process is not None and process.poll() is None:
+                    process.kill()
+                    process.wait()
+            out.seek(0)
+            text = (line.rstrip("\n") for line in io.TextIOWrapper(out, encoding="utf-8"))
+            while part := list(itertools.islice(text, rows)):
+                yield pd.DataFrame({"value": part})
 
     return lines.mapInPandas(run, "value string")

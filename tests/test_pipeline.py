@@ -92,3 +92,17 @@ def test_stream_counts_equal_table_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, windows.counts(rows).collect()))
+
+
+def test_command_runs_once_a_partition(spark):
+    from millrace.plans.steps import Context
+
+    lines = spark.range(35).selectExpr("cast(id AS string) AS value").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        for command, want in (("wc -l", ["35"]), ("sort -rn", [str(i) for i in range(34, -1, -1)]), ("head -n 1", ["0"])):
+            assert [r.value.strip() for r in STEPS["Command"](Context(spark, params={"command": command}), lines).collect()] == want
+    finally:
+        spark.conf.set(name, before)
