@@ -45,7 +45,7 @@ def seed_batches(sizes: list[int], wanted: np.ndarray | None):
         for batch in batches:
             texts = lower_bytes(batch.column(1))
             for low, high in buffers(texts, 4 * BUFFER):
-                hashes, doc, index, _, _ = words_of(texts[low:high], WORD, roller)
+                hashes, doc, index, _, _ = words_of(texts[low:high], WORD)
                 for size in sizes:
                     grams, ok = word_grams(hashes, doc, size)
                     at = np.flatnonzero(ok if maybe is None else ok & maybe[(grams >> np.uint64(42)).view(np.int64)])
@@ -129,7 +129,7 @@ def length_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     roller = Roller()
     for batch in batches:
         texts = lower_bytes(batch.column(1))
-        _, doc, _, _, _ = words_of(texts, WORD, roller)
+        _, doc, _, _, _ = words_of(texts, WORD)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(doc, minlength=len(texts)).astype(np.int64))], ["id", "words"])
 
 

@@ -6,11 +6,15 @@ does not depend on the length of a document or the number of documents it reads.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
 BUFFER = 1 << 18  #: bytes that one numpy pass looks at
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +101,40 @@ def buffers(texts: list[bytes], size: int = BUFFER) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
-def words_of(texts: list[bytes], kind: np.ndarray, roller: Roller, lower: bool = False):
+#: keeps the first 0 to 8 bytes of a little-endian number
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=object).astype(U64)
+EIGHTS = 64  #: longer words, in bytes, are hashed one by one
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of a buffer: eight bytes at a time are mixed in, so no two words of one
+    length and up to eight bytes share a hash; long words go through a cryptographic hash."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    view = np.ndarray((len(raw) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    out = mix(length.astype(U64) ^ U64(BASE))
+    for j in range(0, EIGHTS, 8):
+        at = np.flatnonzero(length > j)
+        if not len(at):
+            break
+        out[at] = mix(out[at] ^ (view[start[at] + j] & FIRST_BYTES[np.minimum(8, length[at] - j)]))
+    for i in np.flatnonzero(length > EIGHTS):
+        out[i] = digest(raw[start[i] : end[i]].tobytes())
+    return out
+
+
+def digest(text: bytes, size: int = 8) -> int | bytes:
+    """A cryptographic hash of the text: a number for 8 bytes, else the bytes."""
+    found = hashlib.blake2b(text, digest_size=size).digest()
+    return int.from_bytes(found, "little") if size == 8 else found
+
+
+def text_marks(texts: list[bytes]) -> np.ndarray:
+    """Such a number for each text, as a long."""
+    return np.array([digest(t) for t in texts], U64).view(np.int64)
+
+
+def words_of(texts: list[bytes], kind: np.ndarray, lower: bool = False):
     """Words of several texts at once.
 
     Returns (hash, doc, index in the document, byte start, byte end) arrays over all words; byte
@@ -108,13 +145,7 @@ def words_of(texts: list[bytes], kind: np.ndarray, roller: Roller, lower: bool =
         raw = LOWER[raw]
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     start, end = runs(kind[raw])
-    hashes = np.empty(len(start), U64)
-    at = 0
-    while at < len(start):  # stretches that stay in the processor's cache
-        to = max(at + 1, int(np.searchsorted(end, start[at] + BUFFER, side="right")))
-        low = start[at]
-        hashes[at:to] = roller.spans(roller.sums(raw[low : end[to - 1]]), start[at:to] - low, end[at:to] - low)
-        at = to
+    hashes = word_hashes(raw, start, end)
     doc = np.searchsorted(np.cumsum(lengths), start, side="right")
     first = np.searchsorted(doc, np.arange(len(texts)))
     return hashes, doc, np.arange(len(doc)) - first[doc], start, end
@@ -132,22 +163,78 @@ def word_grams(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, null as empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder: later reads survive lost executors.
+def text_buffers(column, size: int = BUFFER, lower: bool = False) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, row after the last, their texts as bytes, null as empty) of a text column.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where it is unset (a single machine,
-    as in tests) a temporary one is set.
+    A buffer of about ``size`` bytes at a time, or one longer text, becomes Python objects.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    lengths = pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths + 1)
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + size, side="right")))
+        part = column.slice(low, high - low)
+        yield low, high, [x.lower().encode("utf-8", "surrogatepass") if x else b"" for x in part.to_pylist()] if lower else text_bytes(part)
+        low = high
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs: the session's ``spark.checkpoint.dir``.  Only a session on
+    one machine may do without, and gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+class Tables:
+    """Tables written once to the shared folder: later reads survive lost executors, read only the
+    columns they need, and know the table's size."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for table in tables:
+            remove(self.spark, self.paths.pop(id(table))[1])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all others."""
+        self.drop(*(t for t, _ in list(self.paths.values()) if not any(t is k for k in tables)))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder."""
+    return Tables(df.sparkSession).write(df)
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def tasks(df: DataFrame) -> int:

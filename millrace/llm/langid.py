@@ -8,7 +8,10 @@ Labelled rows may be bounded: ``sample_per_language`` rows of each language or a
 lowest hash (default ``SAMPLE_PER_LANGUAGE``; None: all of them).  Every document is scored whole.
 
 Null texts and texts without a letter give ``und`` with score 0; so does every text if nothing
-labelled could be learned from.  Ties go to the label that sorts first.  Repeated rows repeat.
+labelled could be learned from (also from an empty table).  Ties go to the label that sorts first.
+Repeated rows repeat, other columns pass through, and an empty table gives an empty result.  A very
+long text is cut into pieces of ``PIECE`` characters, all of which count.  More than
+``MAX_LANGUAGES`` labels, which bound the broadcast table, are an error: none is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.core import U64, mix
+from millrace.llm.core import U64, mix, text_buffers
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -83,12 +86,13 @@ def count_batches(labels: list[str]):
         total = np.zeros((len(labels), BUCKETS), np.int64)
         for batch in batches:
             langs = np.array([index.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
-            for rows, parts in pieces(batch.column(0).to_pylist()):
-                found, part = grams(parts)
-                which = langs[np.array(rows)][part]
-                ok = which >= 0
-                flat = (which[ok, None] * BUCKETS + found[ok]).ravel()
-                total += np.bincount(flat, minlength=total.size).reshape(total.shape)
+            for low, high, texts in text_buffers(batch.column(0), 4 * PIECE):
+                for rows, parts in pieces([x.decode("utf-8", "surrogatepass") for x in texts]):
+                    found, part = grams(parts)
+                    which = langs[low:high][np.array(rows)][part]
+                    ok = which >= 0
+                    flat = (which[ok, None] * BUCKETS + found[ok]).ravel()
+                    total += np.bincount(flat, minlength=total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
@@ -126,7 +130,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_pe
     """Learns from rows whose label is not null: the labels, and the matrix of log-probabilities."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
     spark = labelled.sparkSession
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different labels: the table of log-probabilities would not be small")
     labels = sorted(sizes)
     if not labels:
         return [], np.zeros((BUCKETS, 0), np.float32)
@@ -142,15 +148,17 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_pe
     return labels, log_table(counts)
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """The input's columns with ``lang_pred`` and ``score`` (replaced if they exist)."""
+def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The input's columns with the predicted label and its score (columns of those names are replaced)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = df.drop("lang_pred", "score")
+    kept = df.drop(label, score)
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = predict(batch.column(at).to_pylist(), *shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            for low, high, texts in text_buffers(batch.column(at), 4 * PIECE):
+                labels, scores = predict([x.decode("utf-8", "surrogatepass") for x in texts], *shared.value)
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, label, score])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))

@@ -179,7 +179,7 @@ def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, learn = text_bytes(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for low, high in buffers(texts, 24 * BUFFER):
             part = texts[low:high]
-            hashes, doc, _, start, end = words_of(part, INK, roller, lower=True)
+            hashes, doc, _, start, end = words_of(part, INK, lower=True)
             raw = LOWER[np.frombuffer(b"\n".join(part) + b"\n", np.uint8)].tobytes()
             own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             n = np.bincount(which, learn[low:high][doc], len(own)).astype(np.int64)
@@ -255,7 +255,7 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
             texts = text_bytes(batch.column(1))
             for low, high in buffers(texts, 8 * BUFFER):
                 part = texts[low:high]
-                hashed, doc, _, _, _ = words_of(part, INK, roller, lower=True)
+                hashed, doc, _, _, _ = words_of(part, INK, lower=True)
                 size = len(part)
                 own = np.concatenate([hashed.view(np.int64), np.full(size, END)])
                 doc = np.concatenate([doc, np.arange(size)])

@@ -58,7 +58,7 @@ def template_rows(base: Sequence[tuple[str, str]], templates: Sequence[tuple[str
     """(hash, template, label, is_base, grams, words, place) of each k-gram of each template."""
     roller, out = Roller(), []
     for number, (label, text, is_base) in enumerate([*((a, b, True) for a, b in base), *((a, b, False) for a, b in templates)]):
-        hashes, doc, _, _, _ = words_of([text.encode()], WORD, roller, lower=True)
+        hashes, doc, _, _, _ = words_of([text.encode()], WORD, lower=True)
         grams, _ = word_grams(hashes, doc, k)
         if not len(grams):
             raise ValueError(f"a template needs {k} words or more: {text!r}")
@@ -77,7 +77,7 @@ def scan_batches(wanted: np.ndarray, k: int):
             texts = text_bytes(batch.column(1))
             for low, high in buffers(texts, 4 * BUFFER):
                 part = texts[low:high]
-                hashes, doc, index, _, _ = words_of(part, WORD, roller, lower=True)
+                hashes, doc, index, _, _ = words_of(part, WORD, lower=True)
                 n_words = np.bincount(doc, minlength=len(part))
                 grams, ok = word_grams(hashes, doc, k)
                 at = np.flatnonzero(ok & maybe[(grams >> np.uint64(48)).astype(np.int64)])
