@@ -106,20 +106,21 @@ FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=object).astyp
 EIGHTS = 64  #: longer words, in bytes, are hashed one by one
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
     """64-bit hashes of spans of a buffer: eight bytes at a time are mixed in, so no two words of one
-    length and up to eight bytes share a hash; long words go through a cryptographic hash."""
+    length and up to eight bytes share a hash; long words go through a cryptographic hash.  Hashes of
+    different salts are independent."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     view = np.ndarray((len(raw) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
     length = end - start
-    out = mix(length.astype(U64) ^ U64(BASE))
+    out = mix(length.astype(U64) ^ U64(BASE) ^ mix(np.array([salt], U64)))
     for j in range(0, EIGHTS, 8):
         at = np.flatnonzero(length > j)
         if not len(at):
             break
         out[at] = mix(out[at] ^ (view[start[at] + j] & FIRST_BYTES[np.minimum(8, length[at] - j)]))
     for i in np.flatnonzero(length > EIGHTS):
-        out[i] = digest(raw[start[i] : end[i]].tobytes())
+        out[i] ^= U64(digest(b"%d " % salt + raw[start[i] : end[i]].tobytes()))
     return out
 
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from millrace.llm import contamination
+from millrace.llm.core import Roller
 
 
 def words(text):
@@ -36,9 +37,21 @@ def test_tiles_match_plain_greedy_tiling():
         a = [rng.choice("abc") for _ in range(rng.randrange(0, 40))]
         b = [rng.choice("abc") for _ in range(rng.randrange(0, 20))]
         for k in (2, 3):
-            seeds = [(i, j) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if a[i : i + k] == b[j : j + k]]
-            p, q = (np.array([s[i] for s in seeds], np.int64) for i in range(2))
-            assert contamination.tile(p, q, k) == greedy(a, b, k)
+            number = lambda w: int("".join(w).replace("a", "1").replace("b", "2").replace("c", "3"))
+            item = [number(b[j : j + k]) for j in range(len(b) - k + 1)]
+            seeds = [(i, number(a[i : i + k])) for i in range(len(a) - k + 1) if number(a[i : i + k]) in item]
+            p, h = (np.array([s[i] for s in seeds], np.int64) for i in range(2))
+            assert contamination.tile(p, h, np.array(item, np.int64), k, Roller()) == greedy(a, b, k)
+
+
+def test_texts_of_one_repeated_word_take_no_pairs_of_places():
+    import time
+
+    for period in (1, 2, 7):
+        h = np.arange(20_000) % period
+        began = time.monotonic()
+        tiles = contamination.tile(np.arange(20_000), h, h[:396].copy(), 5, Roller())
+        assert tiles == [(0, 0, 400)] and time.monotonic() - began < 2
 
 
 def corpus():
@@ -87,12 +100,23 @@ def test_pairs_match_brute_force_with_and_without_broadcast(spark, monkeypatch):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_empty_tables_and_repeated_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+def test_empty_tables_null_and_repeated_keys(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (None, "a b c d e f"), (2, None)], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
-    assert contamination.contaminated(docs, none).collect() == []
-    items = spark.createDataFrame([(9, "A b c d e f."), (9, "A b c d e f.")], "item_id long, text string")
-    got = contamination.contaminated(docs, items).collect()
-    assert [(r.doc_id, r.item_id, r.n_tiles, r.coverage) for r in got] == [(1, 9, 1, 1.0)]
-    assert contamination.contaminated(docs.limit(0), items).collect() == []
-    assert [r.doc_id for r in contamination.decontaminate(docs, items).collect()] == [None]
+    assert contamination.contaminated(docs, none, key="item_id").collect() == []
+    items = spark.createDataFrame([(9, "A b c d e f."), (9, "A b c d e f."), (9, "x y z x y z"), (None, "g h i j k l")], "item_id long, text string")
+    got = contamination.contaminated(docs, items, key="item_id").collect()  # both keys have one name
+    assert sorted(((r.item_id or 0, r.item_item_id or 0, r.n_tiles, r.coverage) for r in got)) == [(0, 9, 1, 1.0), (1, 0, 1, 1.0), (1, 9, 1, 1.0)]
+    assert contamination.contaminated(docs.limit(0), items, key="item_id").collect() == []
+    assert [(r.item_id, r.text) for r in contamination.decontaminate(docs, items, key="item_id").collect()] == [(2, None)]
+
+
+def test_long_texts_of_one_word_and_words_a_polynomial_hash_confuses(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " some further words"
+    docs = spark.createDataFrame([(1, "echo " * 20_000), (2, other + rest)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "echo " * 400), (8, word + rest), (9, other + rest)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contamination.contaminated(docs, items).collect()) == [(1, 7), (2, 9)]
