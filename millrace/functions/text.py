@@ -71,10 +71,40 @@ def step_name(path: Column, suffix: str = "Plugin") -> Column:
     return F.when(name != "", F.regexp_replace(name, "^lib", ""))
 
 
+#: Words for pre-releases, in order of their phase.
+PRE_RELEASES = ("a|alpha", "b|beta", "c|rc|pre|preview")
+VERSION = (
+    r"(?i)^v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?([0-9]*))?"
+    r"((?:-[0-9]+|[-_.]?(?:post|rev|r)[-_.]?[0-9]*)?)((?:[-_.]?dev[-_.]?[0-9]*)?)(?:\+[a-z0-9._-]+)?$"
+)
+
+
 def version_key(c: Column) -> Column:
-    """Numbers of a dotted version, without trailing zeros, so that arrays sort as versions do; null if it is none."""
-    ok = c.rlike(r"^[0-9]+(\.[0-9]+)*$")
-    return F.when(ok, F.transform(F.split(F.regexp_replace(c, r"(\.0+)+$", ""), r"\."), lambda x: x.cast("long")))
+    """A struct that sorts as versions do: epoch, release numbers without trailing zeros, pre-release,
+    post-release and development number; null if the string is no version."""
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(c, VERSION, i)
+
+    def number(x: Column) -> Column:
+        return F.coalesce(F.regexp_extract(x, r"([0-9]+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+
+    none, most = F.lit(-1).cast("long"), F.lit((1 << 63) - 1).cast("long")
+    phase = F.lit(None).cast("int")
+    for i, words in enumerate(PRE_RELEASES):
+        phase = F.when(F.lower(part(3)).isin(*words.split("|")), i).otherwise(phase)
+    only_dev = (part(5) == "") & (part(6) != "")
+    return F.when(
+        c.rlike(VERSION),
+        F.struct(
+            number(part(1)).alias("epoch"),
+            F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), lambda x: x.cast("long")).alias("release"),
+            F.coalesce(phase, F.when(only_dev, -1).otherwise(len(PRE_RELEASES))).alias("phase"),
+            number(part(4)).alias("pre"),
+            F.when(part(5) == "", none).otherwise(number(part(5))).alias("post"),
+            F.when(part(6) == "", most).otherwise(number(part(6))).alias("dev"),
+        ),
+    )
 
 
 def exit_code(normal: Column, code: Column) -> Column:

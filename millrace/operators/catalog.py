@@ -34,6 +34,16 @@ def crawl(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return one.join(two, "middle").select("site", "middle", "url", "name")
 
 
+def requested(found: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """What was found of what is wanted."""
+    return found.join(wanted, on, "left_semi")
+
+
+def link_counts(found: DataFrame, by: str, url: str = "url") -> DataFrame:
+    """(by, n_links, n_urls)."""
+    return found.groupBy(by).agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct(url).alias("n_urls"))
+
+
 def only_local(name: Column) -> Column:
     """Whether a name is a tool's own file rather than a plugin's: hidden, a readme, a script or notes."""
     return name.startswith(".") | (name == "README") | name.endswith(".py") | name.endswith(".txt")

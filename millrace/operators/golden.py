@@ -10,17 +10,42 @@ from pyspark.sql import functions as F
 from millrace.functions.text import TOLERANCE, differs, tokens
 
 
+def balance(got: DataFrame, expected: DataFrame) -> DataFrame:
+    """Each distinct row of either side, with ``_more``: how much more often the first side has it."""
+    both = got.withColumn("_side", F.lit(1)).unionByName(expected.withColumn("_side", F.lit(-1)))
+    return both.groupBy(*got.columns).agg(F.sum("_side").alias("_more"))
+
+
+def equal_files(got: DataFrame, expected: DataFrame, by: str, value: str = "value", order: str = "pos") -> DataFrame:
+    """(by, equal): whether each of many ordered files is equal line for line."""
+    lines = balance(*(x.select(by, order, value) for x in (got, expected)))
+    return lines.groupBy(by).agg((F.max(F.abs("_more")) == 0).alias("equal"))
+
+
 def same_bytes(a: DataFrame, b: DataFrame, value: str = "value", order: str = "pos") -> bool:
     """Whether two ordered files are equal line for line."""
-    left, right = (x.select(order, value) for x in (a, b))
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    return difference(a.select(order, value), b.select(order, value)).isEmpty()
 
 
 def difference(got: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, as often as they are lacking; ``side`` says which."""
-    only_got = got.exceptAll(expected).withColumn("side", F.lit("got"))
-    only_expected = expected.exceptAll(got).withColumn("side", F.lit("expected"))
-    return only_got.unionByName(only_expected)
+    lacking = balance(got, expected).where("_more <> 0")
+    each = lacking.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_more"))))
+    return each.select(*got.columns, F.when(F.col("_more") > 0, "got").otherwise("expected").alias("side"))
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """The rows with ``n``, their number in order over the whole table: sorted by ranges, and counted
+    by range, so no task sees all rows."""
+    from millrace.plans.session import checkpointed
+
+    rows = checkpointed(df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))  # a row for each range
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn("n", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_at")
 
 
 def field_differences(got: DataFrame, expected: DataFrame, by: str, fields: str, tolerance: float = TOLERANCE) -> DataFrame:
@@ -29,9 +54,12 @@ def field_differences(got: DataFrame, expected: DataFrame, by: str, fields: str,
     Rows are arrays of strings.  All rows are compared; a row or field that one side lacks differs.
     """
     w = Window.partitionBy(by).orderBy(fields)
-    numbered = [x.select(by, fields, F.row_number().over(w).alias("n")) for x in (got, expected)]
-    left, right = (x.select(by, "n", F.posexplode(fields).alias("field", side)) for x, side in zip(numbered, ("got", "expected"), strict=True))
-    both = left.join(right, [by, "n", "field"], "full")
+    return _field_pairs(*(x.select(by, fields, F.row_number().over(w).cast("long").alias("n")) for x in (got, expected)), [by], fields, tolerance)
+
+
+def _field_pairs(got: DataFrame, expected: DataFrame, by: list[str], fields: str, tolerance: float) -> DataFrame:
+    left, right = (x.select(*by, "n", F.posexplode(fields).alias("field", side)) for x, side in ((got, "got"), (expected, "expected")))
+    both = left.join(right, [*by, "n", "field"], "full")
     return both.where(F.coalesce(differs(F.col("got"), F.col("expected"), tolerance), F.lit(True)))
 
 
@@ -52,8 +80,8 @@ def verdict(got: DataFrame, expected: DataFrame, kind: str = "", custom: Callabl
     if difference(got.select("value"), expected.select("value")).isEmpty():
         return "PASS"
     if kind in ("csv", "noa"):
-        sides = [x.select(F.lit(1).alias("file"), fields_of(kind).alias("fields")) for x in (got, expected)]
-        return "PASS" if field_differences(*sides, "file", "fields").isEmpty() else "FAIL"
+        sides = [numbered(x.select(fields_of(kind).alias("fields")), "fields") for x in (got, expected)]
+        return "PASS" if _field_pairs(*sides, [], "fields", TOLERANCE).isEmpty() else "FAIL"
     return "FAIL"
 
 

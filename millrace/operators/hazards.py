@@ -16,10 +16,24 @@ def output_collisions(tasks: DataFrame, by: list[str], order: str, output: str)
 
 
 def read_after_write(tasks: DataFrame, by: list[str], order: str, inp: str, out: str) -> DataFrame:
-    """(by, writer, reader, path): a task of a block reads what another writes."""
-    reads = tasks.select(*by, F.col(order).alias("reader"), F.col(inp).alias("path"))
-    writes = tasks.select(*by, F.col(order).alias("writer"), F.col(out).alias("path"))
-    return writes.join(reads, [*by, "path"]).where("writer <> reader").select(*by, "writer", "reader", "path")
+    """(by, path, reader, writer, n_writers): a task of a block reads what other tasks write.
+
+    One row a reader, with one of the writers (the first, or the last if the reader is the first) and
+    their number: a path with many writers and readers gives no pairs of them.
+    """
+    writes = tasks.where(F.col(out).isNotNull()).groupBy(*by, F.col(out).alias("path")).agg(F.min(order).alias("_first"), F.max(order).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    reads = tasks.select(*by, F.col(order).alias("reader"), F.col(inp).alias("path"), F.coalesce(F.col(inp) == F.col(out), F.lit(False)).alias("_own"))
+    writer = F.when(F.col("_first") != F.col("reader"), F.col("_first")).otherwise(F.col("_last"))
+    n = F.col("_n") - F.col("_own").cast("long")
+    return reads.join(writes, [*by, "path"]).where(n > 0).select(*by, "path", "reader", writer.alias("writer"), n.alias("n_writers"))
+
+
+def never_fits(tasks: DataFrame, needs: dict[str, Column]) -> DataFrame:
+    """Tasks that want more of a resource (column) than its total, which is unlimited if 0."""
+    over = F.lit(False)
+    for name, total in needs.items():
+        over = over | ((total > 0) & (F.col(name) > total))
+    return tasks.where(over)
 
 
 def default_share(memory: Column, workers: Column) -> Column:
@@ -33,35 +47,6 @@ def running_usage(events: DataFrame, by: list[str], order: str, delta: Column, n
     return events.withColumn(name, F.sum(delta).over(w))
 
 
-def admission(tasks: DataFrame, by: list[str], order: str, memory: str, seconds: str, workers: int, total: int) -> DataFrame:
-    """(by, order, start, end) of tasks admitted first in, first out within workers and memory.
-
-    Which task starts when depends on all before it, so each block is stepped through in order; a
-    block is a short list.  Tasks that can never fit get nulls.
-    """
-    import pandas as pd
-
-    fields = tasks.schema
-    schema = ", ".join([*(f"{c} {fields[c].dataType.simpleString()}" for c in [*by, order]), "start double", "end double"])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        now, active, out = 0.0, [], []
-        for m, s in zip(frame[memory], frame[seconds], strict=True):
-            if m > total or workers < 1:
-                out.append((None, None))
-                continue
-            while len(active) >= workers or sum(a[1] for a in active) + m > total:
-                active.sort()
-                now = max(now, active.pop(0)[0])
-            active = [a for a in active if a[0] > now]
-            active.append((now + float(s), m))
-            out.append((now, now + float(s)))
-        return frame[[*by, order]].assign(start=[o[0] for o in out], end=[o[1] for o in out]).astype({"start": "float64", "end": "float64"})
-
-    return tasks.groupBy(*by).applyInPandas(run, schema)
-
-
 def outcomes(results: DataFrame, by: list[str], code: str) -> DataFrame:
     """Completed and failed tasks."""
     return results.groupBy(*by).agg(F.count_if(F.col(code) == 0).alias("completed"), F.count_if(F.col(code) != 0).alias("failed"))

@@ -45,7 +45,7 @@ def prefix_scope(df: DataFrame, by: str = "file", order: str = "pos") -> DataFra
     inside = _until([by, "_scope"], order)
     child = F.when(is_kitty, F.concat(second, F.lit("/")))
     latest = F.last(child, ignorenulls=True).over(inside)
-    nested = F.array_join(F.collect_list(child).over(inside), "")
+    nested = F.array_join(F.collect_list(F.when(F.col("_scope") == 0, child)).over(inside), "")
     out = out.withColumn("prefix", F.when(F.col("_scope") > 0, F.concat("_own", F.coalesce(latest, F.lit("")))).otherwise(nested))
     return out.drop("_own", "_scope")
 

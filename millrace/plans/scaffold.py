@@ -7,6 +7,7 @@ words after a ``-flag`` for parameters, and ``[ … ]`` holds an optional group.
 from __future__ import annotations
 
 import shlex
+from pathlib import Path
 
 HEAD = '''"""Step {name}: runs an external program."""
 
@@ -47,3 +48,12 @@ def source(name: str, template: str) -> str:
         add = f"program += [{word!r}, ctx.params[{key!r}]]" if parameter else (f"program.append({word!r})" if word.startswith("-") else f"program.append(ctx.params[{key!r}])")
         body += f"    if {key!r} in ctx.params:\n        {add}\n" if optional else f"    {add}\n"
     return body + "    return pipe(df.selectExpr(f'cast({df.columns[0]} as string) as value'), program)\n"
+
+
+def write(name: str, template: str, folder: str) -> Path:
+    """Puts the source where the search path finds it: folder/NAME/NAMEPlugin.py, which must not exist."""
+    path = Path(folder) / name / f"{name}Plugin.py"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("x") as f:
+        f.write(source(name, template))
+    return path

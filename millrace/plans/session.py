@@ -18,8 +18,12 @@ def session(master: str | None = None, **config: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's shared checkpoint folder; a temporary one only where none is set."""
+    """The rows, written to the session's shared checkpoint folder.  Only a session on one machine may
+    do without one, and gets a temporary folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

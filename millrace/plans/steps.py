@@ -31,9 +31,13 @@ class Context:
     def table(self, path: str) -> DataFrame:
         return self.tables(path if path[:1] in "/\\" or "://" in path else self.prefix + path)
 
-    def dependency(self, name: str) -> None:
-        if name not in STEPS:
+    def dependency(self, name: str, required: bool = True) -> bool:
+        """Whether a step is registered; one that is required and missing is an error, another is logged."""
+        if name not in STEPS and required:
             raise LookupError(f"step {name} is needed and not registered")
+        if name not in STEPS:
+            self.log(f"step {name} would be of use and is not registered")
+        return name in STEPS
 
 
 Step = Callable[[Context, DataFrame], DataFrame]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -22,10 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 FLAGSHIP = """\
-# suppliers by region
+# lines of each order
 Prefix work
-Plugin ScanTable inputfile {d}/supplier.parquet outputfile suppliers
-Plugin GroupCount inputfile suppliers outputfile sizes
+Plugin ScanTable inputfile {d}/lineitem.parquet outputfile lines
+Plugin GroupCount inputfile lines outputfile sizes
 """
 
 
@@ -43,7 +43,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT s_suppkey, count(*)::BIGINT AS n FROM supplier GROUP BY s_suppkey")
+@query("SELECT l_orderkey, count(*)::BIGINT AS n FROM lineitem GROUP BY l_orderkey")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pipeline text, parsed, checked, composed: one DataFrame for its last output."""
     plan = pipeline.compose(spark, FLAGSHIP.format(d=sf_dir))
@@ -137,26 +137,12 @@ def prefix_scope(spark, sf_dir):
     return scope.carried(events, F.when(F.col("event_type") == "signup", F.col("value")), "user_id", "event_id", "current").select("event_id", "user_id", "current")
 
 
-@query("""
-WITH k AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'P' WHEN 'click' THEN 'K' ELSE 'X' END AS w, props FROM events WHERE event_id % 4 <> 0 OR event_type <> 'signup'),
-s AS (SELECT *, count(CASE WHEN w = 'P' THEN 1 END) OVER o AS g, last_value(CASE WHEN w = 'P' THEN 'p' || event_id || '/' END IGNORE NULLS) OVER o AS own FROM k WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
-t AS (SELECT *, last_value(CASE WHEN w = 'K' THEN 'k' || event_id || '/' END IGNORE NULLS) OVER i AS child, string_agg(CASE WHEN w = 'K' THEN 'k' || event_id || '/' END, '') OVER i AS nested FROM s WINDOW i AS (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, user_id, CASE WHEN g > 0 THEN own || coalesce(child, '') ELSE coalesce(nested, '') END AS prefix FROM t""")
-def kitty_scope(spark, sf_dir):
-    events = read(spark, sf_dir, "events").where("event_id % 4 <> 0 OR event_type <> 'signup'")
-    word = F.when(F.col("event_type") == "signup", "Prefix").when(F.col("event_type") == "click", "Kitty").otherwise("Plugin")
-    small = F.when(F.col("event_type") == "signup", "p").otherwise("k")
-    lines = events.select("event_id", "user_id", word.alias("keyword"), F.array(word, F.concat(small, F.col("event_id").cast("string"))).alias("tokens"))
-    return scope.prefix_scope(lines, "user_id", "event_id").select("event_id", "user_id", "prefix")
-
-
 @query("""
 WITH k AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'P' WHEN 'click' THEN 'K' ELSE 'X' END AS w FROM events),
 s AS (SELECT *, count(CASE WHEN w = 'P' THEN 1 END) OVER o AS g, last_value(CASE WHEN w = 'P' THEN 'p' || event_id || '/' END IGNORE NULLS) OVER o AS own FROM k WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT *, last_value(CASE WHEN w = 'K' THEN 'k' || event_id || '/' END IGNORE NULLS) OVER i AS child, string_agg(CASE WHEN w = 'K' THEN 'k' || event_id || '/' END, '') OVER i AS nested FROM s WINDOW i AS (PARTITION BY user_id, g ORDER BY event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, user_id, CASE WHEN g > 0 THEN own || coalesce(child, '') ELSE coalesce(nested, '') END AS prefix FROM t""")
-def kitty_scope_whole(spark, sf_dir):
-    """The same over all events."""
+def kitty_scope(spark, sf_dir):
     word = F.when(F.col("event_type") == "signup", "Prefix").when(F.col("event_type") == "click", "Kitty").otherwise("Plugin")
     small = F.when(F.col("event_type") == "signup", "p").otherwise("k")
     lines = read(spark, sf_dir, "events").select("event_id", "user_id", word.alias("keyword"), F.array(word, F.concat(small, F.col("event_id").cast("string"))).alias("tokens"))
@@ -211,9 +197,9 @@ def dispatch_left_join(spark, sf_dir):
     return registry.dispatched(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), nation, "s_nationkey", "n_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def dependency_missing(spark, sf_dir):
-    return registry.missing(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return registry.missing(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -235,13 +221,24 @@ def output_collision(spark, sf_dir):
     return hazards.output_collisions(read(spark, sf_dir, "events"), ["user_id"], "event_id", "value").select("user_id", "value", "first", "second")
 
 
-@query("SELECT a.o_custkey, a.o_orderkey AS writer, b.o_orderkey AS reader, a.o_orderpriority AS path FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey <> b.o_orderkey WHERE b.o_orderkey % 7 = 0 AND a.o_orderkey % 7 <> 0")
+@query("""
+WITH w AS (SELECT o_custkey, o_orderpriority AS path, min(o_orderkey) AS a, max(o_orderkey) AS z, count(*) AS n FROM orders WHERE o_orderkey % 7 <> 3 GROUP BY ALL),
+r AS (SELECT o_custkey, o_orderpriority AS path, o_orderkey AS reader, (o_orderkey % 7 <> 3)::INT AS own FROM orders WHERE o_orderkey % 7 < 4)
+SELECT o_custkey, path, reader, CASE WHEN a <> reader THEN a ELSE z END AS writer, (n - own)::BIGINT AS n_writers FROM r JOIN w USING (o_custkey, path) WHERE n - own > 0""")
 def read_after_write(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders")
-    tasks = orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority")).alias("inp"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("out"))
+    """Orders as tasks: some only read, some only write, some do both."""
+    key = F.col("o_orderkey") % 7
+    tasks = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(key < 4, F.col("o_orderpriority")).alias("inp"), F.when(key != 3, F.col("o_orderpriority")).alias("out"))
     return hazards.read_after_write(tasks, ["o_custkey"], "o_orderkey", "inp", "out")
 
 
+@query("SELECT p_partkey FROM part WHERE p_size > p_partkey % 60 AND p_partkey % 60 > 0 OR p_partkey % 9 > 6")
+def never_fits(spark, sf_dir):
+    """Parts as tasks: their size is the memory, which some blocks have less of; GPUs are short in some."""
+    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("memory"), (F.col("p_partkey") % 9).alias("gpu"))
+    return hazards.never_fits(part, {"memory": F.col("p_partkey") % 60, "gpu": F.lit(6)}).select("p_partkey")
+
+
 @query("SELECT event_id, user_id, sum(CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM events")
 def running_usage(spark, sf_dir):
     delta = F.when(F.col("event_type").isin("signup", "view"), 1).otherwise(-1)
@@ -253,12 +250,6 @@ def peak_usage(spark, sf_dir):
     return running_usage(spark, sf_dir).groupBy("user_id").agg(F.max("used").alias("peak"))
 
 
-@query()
-def fifo_schedule(spark, sf_dir):
-    tasks = read(spark, sf_dir, "events").select("user_id", "event_id", (F.abs(F.hash("event_type")) % 4 + 1).cast("long").alias("memory"), F.col("value").alias("seconds"))
-    return hazards.admission(tasks, ["user_id"], "event_id", "memory", "seconds", workers=3, total=6)
-
-
 @query("SELECT l_returnflag, count(*) FILTER (l_linenumber % 3 = 0)::BIGINT AS completed, count(*) FILTER (l_linenumber % 3 <> 0)::BIGINT AS failed FROM lineitem GROUP BY l_returnflag")
 def result_partition(spark, sf_dir):
     return hazards.outcomes(read(spark, sf_dir, "lineitem").withColumn("code", F.col("l_linenumber") % 3), ["l_returnflag"], "code")
@@ -316,15 +307,30 @@ def html_first_link(spark, sf_dir):
 @query(f"SELECT site, count(*)::BIGINT AS n_links, count(DISTINCT url)::BIGINT AS n_urls FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS site, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS url FROM pages) GROUP BY site")
 def site_link_counts(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("site"), "html")
-    return catalog.links(pages, ["site"]).groupBy("site").agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("url").alias("n_urls"))
+    return catalog.link_counts(catalog.links(pages, ["site"]), "site")
 
 
 @query(f"""
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS url FROM pages)
-SELECT page_id, count(*)::BIGINT AS n FROM l WHERE url NOT IN ('/the', '/de') GROUP BY page_id""")
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS url FROM pages),
+w AS (SELECT DISTINCT regexp_extract(html, '{_LINK}', 1) AS url FROM pages WHERE regexp_matches(html, '{_LINK}') AND page_id % 5 = 0)
+SELECT page_id, count(*)::BIGINT AS n FROM l WHERE url IN (SELECT url FROM w) GROUP BY page_id""")
 def requested_links(spark, sf_dir):
-    found = catalog.links(read(spark, sf_dir, "pages"), ["page_id"]).where(~F.col("url").isin("/the", "/de"))
-    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    """Links that are asked for: the first ones of some pages."""
+    pages = read(spark, sf_dir, "pages")
+    wanted = catalog.first_link(pages.where("page_id % 5 = 0"), ["page_id"]).select("url")
+    return catalog.requested(catalog.links(pages, ["page_id"]), wanted, "url").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH p AS (SELECT regexp_extract(html, '{_LINK}', 1) AS site, page_id, html FROM pages),
+l AS (SELECT page_id, site, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS url FROM p),
+o AS (SELECT site, count(*) AS n FROM p GROUP BY site), k AS (SELECT site, url, count(*) AS n FROM l GROUP BY site, url),
+t AS (SELECT site AS middle, sum(n) AS n FROM k GROUP BY site)
+SELECT k.site, sum(k.n * t.n)::BIGINT AS n FROM k JOIN t ON k.url = t.middle GROUP BY k.site""")
+def crawl(spark, sf_dir):
+    """Pages named by their first link, so that links meet pages: how many links two steps lead to."""
+    pages = read(spark, sf_dir, "pages").select(F.regexp_extract("html", catalog.LINK, 1).alias("url"), "html")
+    return catalog.crawl(pages).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE NOT (p_partkey % 6 IN (0, 1, 2, 3))")
@@ -334,19 +340,11 @@ def local_exclusion(spark, sf_dir):
     return part.where(~catalog.only_local(names))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % 1500 AS dst FROM orders WHERE o_orderkey % 11 = 0),
-r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey < 20 UNION SELECT dst FROM r JOIN e ON r.node = e.src) SELECT node FROM r""")
-def include_closure(spark, sf_dir):
-    edges = read(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("dst"))
-    return catalog.closure(read(spark, sf_dir, "customer").where("c_custkey < 20").select("c_custkey"), edges.distinct())
-
-
 @query("""
 WITH RECURSIVE n AS (SELECT max(c_custkey) + 1 AS n FROM customer),
 e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % n AS dst FROM orders, n),
 r AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT dst FROM r JOIN e ON r.node = e.src) SELECT node FROM r""")
-def include_closure_whole(spark, sf_dir):
+def include_closure(spark, sf_dir):
     """All orders are edges, to targets spread over all customers; one segment's customers are the starts."""
     customer = read(spark, sf_dir, "customer")
     n = customer.agg((F.max("c_custkey") + 1).alias("n"))
@@ -358,15 +356,23 @@ def include_closure_whole(spark, sf_dir):
 
 
 def _specs(spark, sf_dir):
-    """Parts as requirements: the name is the package, the size and brand the version and operator."""
-    op = F.element_at(F.array(*[F.lit(o) for o in ("==", ">=", "<=", ">", "<")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    version = F.concat(F.lit("1."), F.col("p_size").cast("string"))
-    lines = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("pos"), F.concat(F.regexp_replace("p_name", " ", "_"), F.lit(" "), op, version, F.lit(" # note")).alias("value"))
-    return requirements.specifiers(requirements.parsed(lines, "p_brand"), "p_brand")
+    """Parts as requirements: the name is the package, the size the version; some are release candidates,
+    some have extras or a marker, some lines are unreadable."""
+    return requirements.specifiers(requirements.parsed(_requirements(spark, sf_dir), "p_brand"), "p_brand")
+
+
+def _requirements(spark, sf_dir):
+    key = F.col("p_partkey")
+    op = F.element_at(F.array(*[F.lit(o) for o in ("==", ">=", "<=", ">", "<")]), (key % 5 + 1).cast("int"))
+    version = F.concat(F.lit("1."), F.col("p_size").cast("string"), F.when(key % 4 == 0, "rc1").otherwise(""))
+    extras, marker = F.when(key % 3 == 0, "[x,y] ").otherwise(" "), F.when(key % 2 == 0, '; python_version < "3.8"').otherwise("")
+    broken = F.when(key % 13 == 0, " ==").otherwise("")
+    return read(spark, sf_dir, "part").select("p_brand", key.alias("pos"), F.concat(F.regexp_replace("p_name", " ", "_"), extras, op, version, broken, marker, F.lit(" # note")).alias("value"))
 
 
 _SPECS = """
-s AS (SELECT p_brand, p_partkey AS pos, replace(p_name, ' ', '_') AS name, lower(replace(p_name, ' ', '-')) AS pkg, (['==', '>=', '<=', '>', '<'])[p_partkey % 5 + 1] AS op, p_size, '1.' || p_size AS version FROM part)"""
+s AS (SELECT p_brand, p_partkey AS pos, replace(p_name, ' ', '_') AS name, lower(replace(p_name, ' ', '-')) AS pkg, (['==', '>=', '<=', '>', '<'])[p_partkey % 5 + 1] AS op,
+  2 * p_size - (p_partkey % 4 = 0)::INT AS k, '1.' || p_size || CASE WHEN p_partkey % 4 = 0 THEN 'rc1' ELSE '' END AS version FROM part WHERE p_partkey % 13 <> 0)"""
 
 
 @query(f"WITH {_SPECS} SELECT p_brand, pos, name, pkg, op, version FROM s")
@@ -374,12 +380,20 @@ def requirement_specs(spark, sf_dir):
     return _specs(spark, sf_dir)
 
 
+@query("""
+SELECT p_brand, p_partkey AS pos, 'skipping unreadable requirement ' || chr(39) || replace(p_name, ' ', '_') || CASE WHEN p_partkey % 3 = 0 THEN '[x,y] ' ELSE ' ' END || (['==', '>=', '<=', '>', '<'])[p_partkey % 5 + 1] || '1.' || p_size
+  || CASE WHEN p_partkey % 4 = 0 THEN 'rc1' ELSE '' END || ' ==' || CASE WHEN p_partkey % 2 = 0 THEN '; python_version < "3.8"' ELSE '' END || chr(39) AS message
+FROM part WHERE p_partkey % 13 = 0""")
+def requirement_warnings(spark, sf_dir):
+    return requirements.warnings(_requirements(spark, sf_dir), "p_brand")
+
+
 @query(f"WITH {_SPECS} SELECT pkg, array_to_string(list_sort(list_distinct(list(version))), ',') AS versions FROM s WHERE op = '==' GROUP BY pkg HAVING count(DISTINCT version) > 1")
 def pinned_conflicts(spark, sf_dir):
     return requirements.pinned_conflicts(_specs(spark, sf_dir)).withColumn("versions", F.array_join("versions", ","))
 
 
-@query(f"WITH {_SPECS}, m AS (SELECT pkg, max(p_size) FILTER (op IN ('>=', '>', '==')) AS lo, min(p_size) FILTER (op IN ('<=', '<')) AS hi FROM s GROUP BY pkg) SELECT pkg, '1.' || lo AS lower, '1.' || hi AS upper FROM m WHERE lo > hi")
+@query(f"WITH {_SPECS}, m AS (SELECT pkg, max(k) FILTER (op IN ('>=', '>', '==')) AS lo, min(k) FILTER (op IN ('<=', '<')) AS hi, arg_max(version, k) FILTER (op IN ('>=', '>', '==')) AS lower, arg_min(version, k) FILTER (op IN ('<=', '<')) AS upper FROM s GROUP BY pkg) SELECT pkg, lower, upper FROM m WHERE lo > hi")
 def bounds_unsat(spark, sf_dir):
     return requirements.unsatisfiable(_specs(spark, sf_dir))
 
@@ -396,12 +410,13 @@ def params_last_wins(spark, sf_dir):
     return files.parameters(rows, "user_id")
 
 
-@query(r"SELECT doc_id, i::BIGINT AS pair, key, value FROM (SELECT doc_id, unnest(range(0, least(3, len(w) // 2))) AS i, w[2 * unnest(range(0, least(3, len(w) // 2))) + 1] AS key, w[2 * unnest(range(0, least(3, len(w) // 2))) + 2] AS value FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM documents))")
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) // 2)) AS i FROM d)
+SELECT doc_id, i::BIGINT AS pair, w[2 * i + 1] AS key, w[2 * i + 2] AS value FROM p""")
 def token_pairs(spark, sf_dir):
-    """The first pairs of each text's tokens, as a stream of key and value."""
-    words = T.tokens(F.col("text"))
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pair"), words.alias("w")).where("2 * pair + 1 < size(w)")
-    return rows.select("doc_id", F.col("pair").cast("long").alias("pair"), F.get("w", F.col("pair") * 2).alias("key"), F.get("w", F.col("pair") * 2 + 1).alias("value"))
+    """All tokens of all texts, as a stream of key and value."""
+    return files.token_pairs(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value")), "doc_id")
 
 
 @query(r"""
@@ -417,24 +432,12 @@ def token_parameters(spark, sf_dir):
 # Comparison
 
 
-def _sides(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
-    return lines.where("l_partkey % 10 <> 0"), lines.where("l_partkey % 15 <> 0")
-
-
-@query("""
-WITH l AS (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem), a AS (SELECT * FROM l WHERE l_partkey % 10 <> 0), b AS (SELECT * FROM l WHERE l_partkey % 15 <> 0)
-SELECT *, 'got' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'expected' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
-def golden_diff(spark, sf_dir):
-    return golden.difference(*_sides(spark, sf_dir))
-
-
 @query("""
 WITH l AS (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem),
 a AS (SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_partkey % 10 = 0 THEN 'x' ELSE l_returnflag END AS l_returnflag FROM l),
 b AS (SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_partkey % 15 = 0 THEN 'x' ELSE l_returnflag END AS l_returnflag FROM l)
 SELECT *, 'got' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'expected' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
-def golden_diff_whole(spark, sf_dir):
+def golden_diff(spark, sf_dir):
     """Both sides hold every line; some have another flag."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     got, expected = (lines.withColumn("l_returnflag", F.when(F.col("l_partkey") % k == 0, "x").otherwise(F.col("l_returnflag"))) for k in (10, 15))
@@ -474,6 +477,65 @@ def pass_rate(spark, sf_dir):
     return golden.pass_rate(read(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "click", F.col("event_type") == "error")
 
 
+# Files and small functions
+
+
+@query("SELECT user_id, event_type AS key, arg_max(value::VARCHAR, event_id) AS value, count(*) > 1 AS duplicate FROM events GROUP BY user_id, event_type")
+def table_parameters(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), F.concat("event_type", F.lit("  "), F.col("value").cast("string"), F.lit(" more")).alias("value"))
+    return files.table_parameters(rows, "user_id")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') AS l FROM documents),
+e AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS v FROM d)
+SELECT doc_id, pos::BIGINT AS pos, regexp_replace(v, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS value FROM e""")
+def sequence(spark, sf_dir):
+    whole = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("value"))
+    return files.sequence(files.split_lines(whole)).withColumnRenamed("file", "doc_id")
+
+
+@query("SELECT 'plugins/X' || p_partkey AS folder, 'X' || p_partkey AS name, p_partkey % 2 = 1 AS built FROM part WHERE p_partkey % 3 <> 0")
+def built_crates(spark, sf_dir):
+    name = F.concat(F.lit("X"), F.col("p_partkey").cast("string"))
+    here = F.concat(F.lit("plugins/"), name, F.lit("/"))
+    key = F.col("p_partkey")
+    made = F.array_compact(F.array(F.when(key % 3 != 0, F.concat(here, F.lit("Cargo.toml"))), F.when(key % 2 == 1, F.concat(here, F.lit("lib"), name, F.lit("Plugin.so")))))
+    return registry.built_crates(read(spark, sf_dir, "part").select(F.explode(made).alias("path")))
+
+
+@query("SELECT 'out/' || o_orderkey || '.expected' AS expected, CASE WHEN o_custkey % 3 = 0 THEN 'out/' || o_orderkey END AS produced FROM orders")
+def paired_files(spark, sf_dir):
+    name = F.concat(F.lit("out/"), F.col("o_orderkey").cast("string"))
+    paths = F.array_compact(F.array(F.concat(name, F.lit(".expected")), F.when(F.col("o_custkey") % 3 == 0, name)))
+    return golden.paired(read(spark, sf_dir, "orders").select(F.explode(paths).alias("path")))
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderkey % 20 = 0) = 0 AS equal FROM orders GROUP BY o_custkey")
+def equal_files(spark, sf_dir):
+    """Customers' orders as files; a twentieth of the lines differ."""
+    got = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), F.col("o_totalprice").cast("string").alias("value"))
+    expected = got.withColumn("value", F.when(F.col("pos") % 20 == 0, F.concat("value", F.lit(" "))).otherwise(F.col("value")))
+    return golden.equal_files(got, expected, "o_custkey")
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_type AS below, CASE WHEN p_size % 2 = 0 THEN p_size ELSE -1 END::INTEGER AS code, rpad(p_type, 50, ' ') AS padded FROM part")
+def small_functions(spark, sf_dir):
+    """Names below a folder, exit codes, and padded names."""
+    code = T.exit_code(F.col("p_size") % 2 == 0, F.col("p_size"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.below(F.col("p_brand"), F.col("p_type")).alias("below"), code.alias("code"), T.pad(F.col("p_type")).alias("padded"))
+
+
+@query("SELECT p_partkey, rank() OVER (ORDER BY a, b, ph, po, dv)::BIGINT AS place FROM (SELECT p_partkey, p_size AS a, p_partkey % 3 AS b, CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN -1 ELSE 3 END AS ph, CASE p_partkey % 5 WHEN 3 THEN 2 ELSE -1 END AS po, CASE p_partkey % 5 WHEN 2 THEN 1 ELSE 9 END AS dv FROM part)")
+def version_order(spark, sf_dir):
+    """Parts as versions (alphas, candidates, development, post and final releases), and their places."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("a0", ".rc0", ".dev1", ".post2", ".0")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    part = read(spark, sf_dir, "part").select("p_partkey", T.version_key(F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 3).cast("string"), suffix)).alias("key"))
+    sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1  # a row for each version
+    return part.join(sizes.withColumn("place", before), "key").select("p_partkey", "place")
+
+
 # Extension
 
 

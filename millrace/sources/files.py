@@ -56,14 +56,20 @@ def table_parameters(rows: DataFrame, by: str = "file") -> DataFrame:
     return pairs.groupBy(by, "key").agg(F.max_by("value", "pos").alias("value"), (F.count(F.lit(1)) > 1).alias("duplicate"))
 
 
-def token_parameters(whole: DataFrame, by: str = "file") -> DataFrame:
-    """The same from a stream of tokens: key, value, key, value, whatever the line; a last key
-    without a value is left out.  Pairs are made within a row, so rows with one file stay streams of
-    their own; of one key at one place in several of them the greatest value counts."""
+def token_pairs(whole: DataFrame, by: str = "file") -> DataFrame:
+    """(by, pair, key, value): a text's tokens as key, value, key, value, whatever the line; a last key
+    without a value is left out."""
     words = tokens(F.col("value"))
     each = F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / 2).cast("int") - 1), lambda i: F.struct(F.get("words", 2 * i).alias("key"), F.get("words", 2 * i + 1).alias("value")))
     pairs = whole.select(by, words.alias("words")).where(F.size("words") >= 2).select(by, F.posexplode(each).alias("pair", "p"))
-    return pairs.groupBy(by, F.col("p.key").alias("key")).agg(F.max_by("p.value", F.struct("pair", "p.value")).alias("value"))
+    return pairs.select(by, F.col("pair").cast("long").alias("pair"), "p.key", "p.value")
+
+
+def token_parameters(whole: DataFrame, by: str = "file") -> DataFrame:
+    """The same from a stream of tokens: of a repeated key the last value counts.  Pairs are made within
+    a row, so rows with one file stay streams of their own; of one key at one place in several of them
+    the greatest value counts."""
+    return token_pairs(whole, by).groupBy(by, "key").agg(F.max_by("value", F.struct("pair", "value")).alias("value"))
 
 
 def as_map(pairs: DataFrame, by: str = "file") -> DataFrame:

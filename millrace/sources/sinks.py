@@ -29,10 +29,14 @@ def write_whole(df: DataFrame, path: str, kind: str = "parquet", **options) -> N
     except Exception:
         fs.delete(temp, True)
         raise
-    fs.delete(target, True)
+    _, (old,) = _paths(df, f"{beside}.old")
+    had = fs.exists(target) and fs.rename(target, old)  # a crash from here on leaves it beside the target
     if not fs.rename(temp, target):
+        if had:
+            fs.rename(old, target)
         fs.delete(temp, True)
         raise OSError(f"cannot move the result to {path}")
+    fs.delete(old, True)
 
 
 def write_lines(df: DataFrame, path: str, order: str, value: str = "value") -> None:
@@ -40,6 +44,11 @@ def write_lines(df: DataFrame, path: str, order: str, value: str = "value") -> N
     write_whole(df.orderBy(order).select(F.col(value).cast("string").alias("value")).coalesce(1), path, "text")
 
 
+def exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def write_difference(diff: DataFrame, path: str) -> bool:
     """Writes a difference report if there is any difference; says whether there was."""
     if diff.isEmpty():

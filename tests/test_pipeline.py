@@ -106,3 +106,97 @@ def test_command_runs_once_a_partition(spark):
             assert [r.value.strip() for r in STEPS["Command"](Context(spark, params={"command": command}), lines).collect()] == want
     finally:
         spark.conf.set(name, before)
+
+
+def config(tmp_path, text):
+    (tmp_path / "config.txt").write_text(text)
+    return str(tmp_path / "config.txt")
+
+
+def test_block_options_act(spark, base, tmp_path, monkeypatch):
+    seen = []
+    whole = pipeline.write_all
+    monkeypatch.setattr(pipeline, "write_all", lambda s, r, workers, mode: seen.append((sorted(r), workers, mode)) or whole(s, r, workers, mode))
+    text = f"""Prefix {base}
+Parallel workers=3 memory=4G gpu=2 fail=continue
+Plugin ScanTable inputfile t.parquet outputfile a memory=2G
+Plugin Filter inputfile bad.params outputfile b
+Plugin ScanTable inputfile t.parquet outputfile c gpu=1
+EndParallel
+Plugin ScanTable inputfile t.parquet outputfile d
+"""
+    (tmp_path / "bad.params").write_text("input\tt.parquet\nwhere\tid / 0 > 1 AND raise_error('no') IS NULL\n")
+    got = {r.name.removeprefix(f"{base}/"): r.status for r in pipeline.run(spark, config(tmp_path, text))}
+    assert got["a"] == got["c"] == "completed" and got["b"] == "failed"
+    assert [(len(r), w, m) for r, w, m in seen][0] == (3, 2, "continue")
+    with pytest.raises(pipeline.PipelineError, match="never run ScanTable"):
+        pipeline.compose(spark, f"Parallel memory=1G\nPlugin ScanTable inputfile {base}/t.parquet outputfile x memory=2G\nEndParallel")
+
+
+def test_litter_runs_includes_side_by_side(spark, base):
+    parts = {n: f"Plugin ScanTable inputfile {base}/t.parquet outputfile out{n}" for n in "xyz"}
+    text = f"Prefix {base}\nLitterLaunch\nKitty a\nPipeline x\nKitty b\nPipeline y\nLitterGather\nPipeline z"
+    plan = pipeline.compose(spark, text, include=parts.__getitem__)
+    groups = [(g.name, g.at_once(), sorted(p.removeprefix(base) for p in r)) for g, r in plan.written()]
+    assert groups == [("litter", 2, ["/a/outx", "/b/outy"]), ("steps", 4, ["/b/outz"])]
+
+
+def test_hazards_are_reported_and_logged(spark, base, tmp_path):
+    text = f"""Prefix {base}
+Parallel workers=2
+Plugin ScanTable inputfile t.parquet outputfile m
+Plugin ScanTable inputfile t.parquet outputfile m
+Plugin GroupCount inputfile m outputfile n
+EndParallel
+"""
+    assert [r.status for r in pipeline.run(spark, config(tmp_path, text), log_folder=str(tmp_path / "logs"))] == ["completed"]
+    (log,) = (tmp_path / "logs").iterdir()
+    said = log.read_text()
+    for words in ("lines 3 and 4 both write", "line 5 reads", "replaced", "GroupCount reads", "completed in"):
+        assert words in said
+
+
+def test_restart_behind_an_output_that_was_never_stored(spark, base, tmp_path):
+    text = f"Prefix {base}\nPlugin ScanTable inputfile t.parquet outputfile m\nPlugin GroupCount inputfile m outputfile n\n"
+    path = config(tmp_path, text)
+    assert [r.status for r in pipeline.run(spark, path)] == ["completed"]
+    assert not (tmp_path / "m").exists()
+    assert [(r.name, r.status) for r in pipeline.run(spark, path, "GroupCount")] == [(f"{base}/n", "completed")]
+    spark.range(2).write.parquet(f"{base}/m")  # a stored one is read
+    pipeline.run(spark, path, "GroupCount")
+    assert sorted(r.id for r in spark.read.parquet(f"{base}/n").collect()) == [0, 1]
+
+
+def test_cases_in_folders(spark, tmp_path):
+    from millrace.plans import cases
+    from millrace.sources import sinks
+
+    @step("Sorted")
+    def sorted_lines(ctx, df):
+        return df.select("value").orderBy("value").coalesce(1)
+
+    folder = tmp_path / "case"
+    assert cases.run_case(spark, str(folder)) == "WARN"
+    folder.mkdir()
+    (folder / "config.txt").write_text("Plugin Sorted inputfile in.txt outputfile out\n")
+    (folder / "pretest.txt").write_text(f"cp {folder}/raw.txt {folder}/in.txt\n")
+    (folder / "raw.txt").write_text("b\na\n")
+    assert cases.pretest(spark, str(folder)) == 1 and (folder / "in.txt").exists()
+    assert cases.run_case(spark, str(folder)) == "WARN"
+    (folder / "interactive").touch()
+    assert cases.run_case(spark, str(folder)) == "INCOMPAT"
+    (folder / "interactive").unlink()
+    (folder / "gone.expected").write_text("a\n")
+    assert cases.run_case(spark, str(folder)) == "FAIL"
+    assert sinks.exists(spark, f"{folder}/out")
+    del STEPS["Sorted"]
+
+
+def test_scaffold_writes_where_the_search_path_looks(tmp_path):
+    from millrace.plans.steps import load
+
+    assert scaffold.write("Fresh", "tool inputfile", str(tmp_path)).exists()
+    assert load(str(tmp_path)) == ["Fresh"]
+    with pytest.raises(FileExistsError):
+        scaffold.write("Fresh", "tool inputfile", str(tmp_path))
+    del STEPS["Fresh"]

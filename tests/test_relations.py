@@ -43,6 +43,20 @@ def test_requirements(spark):
     assert sorted(r.line for r in requirements.merged(specs).collect()) == ["Foo_Bar==1.2,==1.3", "any", "num<2,<=1.9,>=1.10"]
 
 
+def test_markers_extras_suffixes_and_unreadable_lines(spark, tmp_path):
+    trees = {"p": 'foo[x, y]>=1; python_version < "3.8"\nbar>=2.0rc1\nuse @ http://h/x.zip\n==3 # no name\n', "q": "bar<1.0\nfoo (<3)\n-r more\nb d==1\n"}
+    for plugin, text in trees.items():
+        (tmp_path / "tree" / plugin).mkdir(parents=True)
+        (tmp_path / "tree" / plugin / "requirements.txt").write_text(text)
+    found, pins, bounds = requirements.resolve(spark, str(tmp_path / "tree"), str(tmp_path / "out"))
+    assert sorted((r.plugin, r.pos) for r in found.collect()) == [("p", 4), ("q", 4)]
+    assert pins.isEmpty() and [tuple(r) for r in bounds.collect()] == [("bar", "2.0rc1", "1.0")]
+    assert not (tmp_path / "out").exists()
+    (tmp_path / "tree" / "q" / "requirements.txt").write_text("bar<3.0\nfoo (<3)\n")
+    requirements.resolve(spark, str(tmp_path / "tree"), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["bar<3.0,>=2.0rc1", "foo<3,>=1", "use"]
+
+
 def test_golden(spark):
     def file(text):
         return files.split_lines(spark.createDataFrame([("f", text)], "file string, value string")).select("pos", "value")
@@ -58,10 +72,3 @@ def test_golden(spark):
         golden.fields_of("txt")
     paths = spark.createDataFrame([("a.csv.expected",), ("a.csv",), ("b.expected",)], "path string")
     assert sorted((r.expected, r.produced) for r in golden.paired(paths).collect()) == [("a.csv.expected", "a.csv"), ("b.expected", None)]
-
-
-def test_admission(spark):
-    rows = [("b", 1, 2, 3.0), ("b", 2, 2, 1.0), ("b", 3, 3, 1.0), ("b", 4, 9, 1.0), ("b", 5, 1, 1.0)]
-    tasks = spark.createDataFrame(rows, "block string, idx int, memory long, seconds double")
-    got = {r.idx: (r.start, r.end) for r in hazards.admission(tasks, ["block"], "idx", "memory", "seconds", workers=2, total=5).collect()}
-    assert got == {1: (0.0, 3.0), 2: (0.0, 1.0), 3: (1.0, 2.0), 4: (None, None), 5: (2.0, 3.0)}
