@@ -12,23 +12,28 @@ that, only the anchor's and the piece's hashes travel.  A piece that occurs more
 settled there and then: all but its first occurrence repeat.  Buckets with one distinct piece
 hold nothing else to compare.  Only pieces of the remaining buckets are fetched and sorted.
 A bucket of over ``HOT`` distinct pieces (a frequent line in many contexts) is split: its suffixes
-are dealt again, ``SPLIT`` groups a piece, by the bytes that all suffixes of a group share.
-
-*Sorting a bucket.*  A task takes one block of buckets at a time (``BLOCK`` bytes or one bucket).
-In the block's text, suffixes at positions whose residue modulo ``PERIOD`` lies in a difference
+are dealt again, ``SPLIT`` groups a piece, by the bytes that all suffixes of a group share.  Equal
+groups are repeats of the first one, byte for byte: a task settles those it makes itself before they
+travel, and the rest settle as they arrive in order, so a passage in any number of texts is held once.
+A group bucket that still has more than ``FULL`` bytes of different pieces is dealt a last time, each
+suffix alone by a 128-bit digest of its ``LENGTH`` bytes, and settled by that.
+
+*Sorting a bucket.*  A task takes one block of buckets at a time (``BLOCK`` bytes, or one bucket of
+at most ``FULL``).  In the block's text, suffixes at positions whose residue modulo ``PERIOD`` lies in a difference
 cover are ranked first, by prefix doubling.  The block's suffixes are sorted by their first
 ``PERIOD`` bytes; ties are resolved without looking at more text, by the ranks of the two cover
 positions at the same distance from both, in a three-way partition of all tied stretches at once.
 Neighbours in the suffix array with ``LENGTH`` common bytes form a class, and all but the class's
 first place (doc_id, then start) are repeats.
 
-Memory in a task is bounded by the block; a repeated piece costs one row a batch and occurrence
-list, never a pair.
+Memory in a task is bounded by ``FULL``; a repeated piece costs one row a batch and occurrence
+list, never a pair.  Pieces that are settled before they travel are told apart by two 64-bit hashes.
 
 Null and empty texts, and texts shorter than ``LENGTH`` bytes, lose nothing.  Rows with one doc_id
 and equal texts are one document, given back as often as they occur; different texts under one
 doc_id share the spans found under it.  Rows with a null doc_id are judged as one document
-number too, that of a null, which counts as the last.
+number too, that of a null, which counts as the last.  Very long texts are cut into parts that
+overlap.  Other columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +43,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.core import BUFFER, U64, Roller, mix, text_bytes
+from millrace.llm.core import BUFFER, U64, Roller, digest, mix, text_bytes, text_buffers
 
 LENGTH = 100
 GRAM = 32
@@ -50,6 +56,7 @@ PERIOD = 32
 HOT = 256
 SPLIT = 8
 BLOCK = 1 << 19
+FULL = 1 << 21  #: bytes of different pieces that one bucket may have to be sorted
 PLACE_BITS = 18  #: BUFFER is 2**18
 LAST = np.iinfo(np.int64).max  #: number of a null doc_id
 PACK = 512  #: start * PACK + length; a piece is shorter than that
@@ -232,20 +239,41 @@ def fetch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         rows = []
-        for doc, text, spans in zip(numbers(batch.column(0)).tolist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            for span in spans or ():
-                start, length, kind, bucket = span["start"], span["length"], span["kind"], span["bucket"]
-                if kind == 1:
-                    rows.append((bucket, doc, start, length, None))
-                elif kind == 2:
-                    rows.append((bucket, doc, start, length, text[start : start + length]))
-                else:
-                    rows += [(b, doc, start + lo, n, text[start + lo : start + lo + n]) for b, lo, n in split_piece(text[start : start + length], roller)]
-            if len(rows) > 20_000:
-                yield out(rows)
-                rows = []
+        ids = numbers(batch.column(0))
+        for low, high, texts in text_buffers(batch.column(1), 16 * BUFFER):
+            for doc, text, spans in zip(ids[low:high].tolist(), texts, batch.column(2).slice(low, high - low).to_pylist(), strict=True):
+                for span in spans or ():
+                    start, length, kind, bucket = span["start"], span["length"], span["kind"], span["bucket"]
+                    if kind == 1:
+                        rows.append((bucket, doc, start, length, None))
+                    elif kind == 2:
+                        rows.append((bucket, doc, start, length, text[start : start + length]))
+                    else:
+                        rows += [(b, doc, start + lo, n, text[start + lo : start + lo + n]) for b, lo, n in split_piece(text[start : start + length], roller)]
+                if len(rows) > 50_000:
+                    yield out(settled_here(rows))
+                    rows = []
         if rows:
-            yield out(rows)
+            yield out(settled_here(rows))
+
+
+def settled_here(rows: list[tuple]) -> list[tuple]:
+    """The same rows; of equal pieces all but the first lose their bytes, as they repeat it.  Of rows
+    that are one piece of one document, one stays."""
+    first: dict[tuple[int, bytes], tuple[int, int]] = {}
+    for bucket, doc, start, _, body in rows:
+        if body is not None:
+            first[bucket, body] = min(first.get((bucket, body), (doc, start)), (doc, start))
+    out, seen = [], set()
+    for row in rows:
+        bucket, doc, start, length, body = row
+        if body is None or first[bucket, body] == (doc, start):
+            if body is None or (bucket, doc, start, length) not in seen:
+                out.append(row)
+            seen.add((bucket, doc, start, length))
+        else:
+            out.append((int(mix(np.array([doc * PACK + start], np.int64).view(U64)).view(np.int64)[0]), doc, start, length, None))
+    return out
 
 
 def split_piece(piece: bytes, roller: Roller) -> list[tuple[int, int, int]]:
@@ -389,52 +417,108 @@ def repeats(pieces: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np
     return merged(d[again], s[again], s[again] + LENGTH)
 
 
+def alone(pieces: list[bytes], doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """(doc, start, 0, k1, k2): each suffix of the pieces with a digest of its LENGTH bytes."""
+    found = [(d, s + i, *np.frombuffer(digest(p[i : i + LENGTH], 16), np.int64).tolist()) for p, d, s in zip(pieces, doc.tolist(), start.tolist(), strict=True) for i in range(len(p) - LENGTH + 1)]
+    d, s, k1, k2 = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ([],) * 4))
+    return batch_of(doc=d, start=s, end=np.zeros(len(d), np.int64), k1=k1, k2=k2)
+
+
+def done(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Intervals that are settled; their keys only spread them."""
+    k1 = mix(doc.astype(np.int64).view(U64) ^ mix(start.astype(np.int64).view(U64))).view(np.int64)
+    return batch_of(doc=doc, start=start, end=end, k1=k1, k2=np.zeros(len(doc), np.int64))
+
+
 def sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of bucket to (doc, start, end) of repeats, a block of whole buckets at a time."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """Rows in order of bucket, bytes, doc and start to (doc, start, end, k1, k2): repeats, a block of
+    whole buckets at a time, and suffixes of overfull buckets (end 0) to settle by their digest."""
+    held: pa.Table | None = None
+    last = None  # bucket, bytes, doc and start of the first of the latest equal pieces
+    over = None  # the overfull bucket
 
     def sorted_(table: pa.Table) -> pa.RecordBatch:
-        d, s, e = repeats(table.column("bytes").to_pylist(), table.column("doc").to_numpy(), table.column("start").to_numpy())
-        return batch_of(doc=d, start=s, end=e)
+        return done(*repeats(table.column("bytes").to_pylist(), table.column("doc").to_numpy(), table.column("start").to_numpy()))
 
     for batch in batches:
         null = batch.column(4).is_null()
-        done = batch.filter(null)
-        if done.num_rows:
-            s = done.column(2).to_numpy()
-            yield batch_of(doc=done.column(1).to_numpy(), start=s, end=s + done.column(3).to_numpy())
-        batch = batch.filter(pa.compute.invert(null))
+        known = batch.filter(null)
+        if known.num_rows:
+            s = known.column(2).to_numpy()
+            yield done(known.column(1).to_numpy(), s, s + known.column(3).to_numpy())
+        batch = batch.filter(pc.invert(null))
         if not batch.num_rows:
             continue
-        held.append(batch)
-        size += batch.column(4).nbytes
-        if size >= BLOCK:
-            table = pa.Table.from_batches(held)
-            bucket = table.column("bucket").to_numpy()
-            total = np.cumsum(pa.compute.binary_length(table.column("bytes")).to_numpy())
-            edges = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1  # where another bucket begins
-            low = 0
-            while len(edges) and edges[-1] > low:
-                want = total[low - 1] + BLOCK if low else BLOCK
-                i = int(np.searchsorted(total[edges - 1], want))
-                high = int(edges[min(i, len(edges) - 1)])
-                if high <= low:
-                    high = int(edges[np.searchsorted(edges, low, side="right")])
-                yield sorted_(table.slice(low, high - low))
-                low = high
-            rest = table.slice(low).combine_chunks()
-            held = rest.to_batches()
-            size = sum(b.column(4).nbytes for b in held)
-    if held:
-        yield sorted_(pa.Table.from_batches(held))
+        bucket, doc, start, length = (batch.column(i).to_numpy() for i in range(4))
+        body = batch.column(4)
+        same = np.zeros(len(bucket), bool)
+        same[1:] = (bucket[1:] == bucket[:-1]) & pc.equal(body[1:], body[:-1]).to_numpy(zero_copy_only=False)
+        same[0] = last is not None and last[0] == bucket[0] and last[1] == body[0].as_py()
+        head = np.maximum.accumulate(np.where(same, -1, np.arange(len(bucket))))
+        first_doc, first_start = (np.where(head < 0, last[i] if last else 0, x[head]) for i, x in ((2, doc), (3, start)))
+        again = same & ((doc != first_doc) | (start != first_start))
+        if again.any():
+            yield done(doc[again], start[again], start[again] + length[again])
+        if head[-1] >= 0:
+            i = int(head[-1])
+            last = (bucket[i], body[i].as_py(), doc[i], start[i])
+        table = pa.Table.from_batches([batch.filter(pa.array(~same))])
+        if over is not None:
+            still = table.column("bucket").to_numpy() == over
+            if still.any():
+                part = table.filter(pa.array(still))
+                yield alone(part.column("bytes").to_pylist(), part.column("doc").to_numpy(), part.column("start").to_numpy())
+                table = table.filter(pa.array(~still))
+        held = table if held is None else pa.concat_tables([held, table])
+        size = int(pc.sum(pc.binary_length(held.column("bytes"))).as_py() or 0)
+        if size < BLOCK:
+            continue
+        key = held.column("bucket").to_numpy()
+        total = np.cumsum(pc.binary_length(held.column("bytes")).to_numpy())
+        edges = np.flatnonzero(key[1:] != key[:-1]) + 1  # where another bucket begins
+        low = 0
+        while len(edges) and edges[-1] > low:
+            want = total[low - 1] + BLOCK if low else BLOCK
+            high = int(edges[min(int(np.searchsorted(total[edges - 1], want)), len(edges) - 1)])
+            if high <= low:
+                high = int(edges[np.searchsorted(edges, low, side="right")])
+            yield sorted_(held.slice(low, high - low))
+            low = high
+        held = held.slice(low).combine_chunks()
+        if int(pc.sum(pc.binary_length(held.column("bytes"))).as_py() or 0) > FULL:
+            over = held.column("bucket")[0].as_py()
+            yield alone(held.column("bytes").to_pylist(), held.column("doc").to_numpy(), held.column("start").to_numpy())
+            held = None
+    if held is not None and len(held):
+        yield sorted_(held)
+
+
+def last_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of k1, k2, doc and start to (doc, start, end): of suffixes with one digest all but the first repeat."""
+    last = None
+    for batch in batches:
+        doc, start, end, k1, k2 = (batch.column(i).to_numpy() for i in range(5))
+        open_ = np.flatnonzero(end == 0)
+        out = [(doc[end > 0], start[end > 0], end[end > 0])]
+        if len(open_):
+            d, s, a, b = doc[open_], start[open_], k1[open_], k2[open_]
+            if last is not None:
+                d, s, a, b = (np.concatenate(([x], y)) for x, y in zip(last, (d, s, a, b), strict=True))
+            fresh = np.ones(len(d), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(d)), 0))
+            again = (d != d[head]) | (s != s[head])
+            last = tuple(x[head[-1]] for x in (d, s, a, b))
+            out.append((d[again], s[again], s[again] + LENGTH))
+        d, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield batch_of(doc=d, start=s, end=e)
 
 
 def result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, list of intervals) to the result's columns."""
     for batch in batches:
         out = []
-        for text, spans in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for text, spans in ((x, y) for low, high, texts in text_buffers(batch.column(1), 16 * BUFFER) for x, y in zip(texts, batch.column(2).slice(low, high - low).to_pylist(), strict=True)):
             low, kept, removed, count = 0, hashlib.sha256(), 0, 0
             end = None
             for s, e in sorted((x["start"], min(x["end"], len(text))) for x in spans or () if x["start"] < len(text)):
@@ -462,8 +546,8 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataF
     lists = settled.groupBy("doc").agg(F.collect_list(F.struct("start", "length", "kind", "bucket")).alias("spans"))
     # all columns, as the last join reads them too: then Spark moves the texts only once
     fetched = by_doc.join(lists, "doc").select("doc", "text", "spans", "doc_id").mapInArrow(fetch_batches, "bucket long, doc long, start long, length long, bytes binary")
-    found = fetched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_batches, "doc long, start long, end long")
-    return by_doc, found
+    found = fetched.repartition("bucket").sortWithinPartitions("bucket", "bytes", "doc", "start").mapInArrow(sort_batches, "doc long, start long, end long, k1 long, k2 long")
+    return by_doc, found.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc", "start").mapInArrow(last_batches, "doc long, start long, end long")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

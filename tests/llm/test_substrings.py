@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 
 from millrace.llm import substrings
@@ -67,20 +68,57 @@ def test_block_order_matches_plain_sort():
 
 
 def test_matches_brute_force(spark):
-    for seed in (1, 2):
-        docs = texts(seed)
-        df = spark.createDataFrame([Row(doc_id=d, text=t, bucket="clash") for d, t in docs]).repartition(3)
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(df).collect()}
-        assert got == brute(docs)
+    docs = texts(1)
+    df = spark.createDataFrame([Row(doc_id=d, text=t, bucket="clash") for d, t in docs]).repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(df).collect()}
+    assert got == brute(docs)
+
+
+def locally(docs, rows=40):
+    """The tasks' functions one after another in this process, where constants can be changed."""
 
+    def run(f, table, *order):
+        table = table.sort_by([(c, "ascending") for c in order]) if order else table
+        return pa.Table.from_batches(list(f(iter(table.combine_chunks().to_batches(max_chunksize=rows)))))
 
-def test_hot_buckets_and_small_buffers(spark, monkeypatch):
+    table = pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string())})
+    settled = run(substrings.settle_batches, run(substrings.piece_batches, table), "bucket", "content", "doc", "at").to_pylist()
+    spans = {}
+    for r in settled:
+        spans.setdefault(r.pop("doc"), []).append(r)
+    fetched = run(substrings.fetch_batches, table.append_column("spans", pa.array([spans.get(d, []) for d, _ in docs])))
+    found = run(substrings.last_batches, run(substrings.sort_batches, fetched, "bucket", "bytes", "doc", "start"), "k1", "k2", "doc", "start").to_pylist()
+    spans = {}
+    for r in found:
+        spans.setdefault(r.pop("doc"), []).append(r)
+    out = run(substrings.result_batches, table.append_column("spans", pa.array([spans.get(d, []) for d, _ in docs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))))
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.to_pylist()}
+
+
+def test_hot_and_overfull_buckets_match_brute_force(monkeypatch):
     monkeypatch.setattr(substrings, "HOT", 2)
-    monkeypatch.setattr(substrings, "BLOCK", 300)
-    docs = texts(3, 80)
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(df).collect()}
-    assert got == brute(docs)
+    for full in (1 << 21, 400):
+        monkeypatch.setattr(substrings, "BLOCK", 300)
+        monkeypatch.setattr(substrings, "FULL", full)
+        for seed in (3, 4, 5):
+            docs = texts(seed, 80)
+            assert locally(docs) == brute(docs)
+
+
+def test_a_passage_in_many_texts_fills_no_bucket(monkeypatch):
+    rng = random.Random(1)
+    prose = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    for size in (170, 104):  # whole groups are equal, or each group has bytes of its own
+        passage = prose(size)
+        docs = [(i, prose(60) + passage + prose(60)) for i in range(3000)]
+        most = []
+        whole = substrings.repeats
+        monkeypatch.setattr(substrings, "FULL", 20_000)
+        monkeypatch.setattr(substrings, "BLOCK", 20_000)
+        monkeypatch.setattr(substrings, "repeats", lambda p, d, s: most.append(sum(map(len, p))) or whole(p, d, s))
+        assert locally(docs, 500) == brute(docs)
+        assert max(most, default=0) < 200_000
+        monkeypatch.setattr(substrings, "repeats", whole)
 
 
 def test_text_longer_than_a_buffer(spark):
