@@ -16,7 +16,8 @@ meet the texts in a join on the word's hash.
 The base score is a smoothed unigram model of whole words.  Texts are in lower case (A-Z), words
 are runs without blanks, and an end follows each text.  Null and empty texts have the end only.
 Rows are told apart by key and text; equal rows are scored once and given back as often.
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes.  A very long text or word is scored whole.  Other columns are
+not read.  An empty table gives an empty result; with nothing to learn from, every word is unseen.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.core import BUFFER, INK, LOWER, U64, Roller, buffers, materialize, mix, text_bytes, words_of
+from millrace.llm.core import BUFFER, INK, LOWER, U64, Roller, materialize, mix, text_buffers, text_marks, words_of
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 1 << 17
 LONG = 40  #: longer words, in bytes, take the plain recursion
 GROUP = 1 << 16  #: words that one pass of the lattice takes
@@ -41,13 +42,15 @@ ZIPF = 10.0
 PRIOR = 1_000.0  #: pieces' worth of counts that the prior has
 
 
-def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
+def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces as bytes (a blank begins a word) and prior log-probabilities; the last is the end's.
 
     Every single byte is a piece, and pieces with a blank inside are left out: no word has them.
     """
     import sentencepiece
 
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no vocabulary at {path!r}: name a SentencePiece model that the driver can read")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     weight: dict[bytes, float] = {bytes([b]): 1e-4 for b in range(256)}
     for i in range(model.vocab_size()):
@@ -174,11 +177,9 @@ def grouped(batches: Iterator[pa.RecordBatch], rows: int = GROUP) -> Iterator[pa
 
 def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, training?) to (hash, word, count in training texts), summed over some MB of text."""
-    roller = Roller()
     for batch in batches:
-        texts, learn = text_bytes(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for low, high in buffers(texts, 24 * BUFFER):
-            part = texts[low:high]
+        learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for low, high, part in text_buffers(batch.column(0), 24 * BUFFER):
             hashes, doc, _, start, end = words_of(part, INK, lower=True)
             raw = LOWER[np.frombuffer(b"\n".join(part) + b"\n", np.uint8)].tobytes()
             own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -189,7 +190,7 @@ def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def learn(df: DataFrame, training: Column, text: str = "text", path: str = VOCABULARY):
+def learn(df: DataFrame, training: Column, path: str, text: str = "text"):
     """(words: hash, word, n; pieces; log-probabilities; training tokens; distinct training tokens)."""
     spark = df.sparkSession
     pairs = df.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("learn")).mapInArrow(word_batches, "hash long, word binary, n long")
@@ -227,10 +228,10 @@ def frequent_limit(words: DataFrame, most: int = FREQUENT) -> int:
     return 1 << 62 if limit is None else math.ceil(2 ** (limit / 8) - 1e-9)
 
 
-def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
+def score(df: DataFrame, training: Column, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of df: key, n_tokens, n_known, train_tokens, base_score and score."""
     spark = df.sparkSession
-    words, pieces, logp, n, v = learn(df, training, text, path)
+    words, pieces, logp, n, v = learn(df, training, path, text)
     model = spark.sparkContext.broadcast((pieces, logp))
     down = math.log10(n + 0.1 * (v + 1))
 
@@ -249,12 +250,9 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with what frequent words say, and one for each other word of it."""
-        roller = Roller()
         known, base, logz = top.value
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for low, high in buffers(texts, 8 * BUFFER):
-                part = texts[low:high]
+            for low, high, part in text_buffers(batch.column(1), 8 * BUFFER):
                 hashed, doc, _, _, _ = words_of(part, INK, lower=True)
                 size = len(part)
                 own = np.concatenate([hashed.view(np.int64), np.full(size, END)])
@@ -272,7 +270,7 @@ def score(df: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
                 fresh[1:] = (pair[1:] != pair[:-1]).any(1)
                 times = np.diff(np.append(np.flatnonzero(fresh), len(pair)))
                 pair = pair[fresh]
-                marks = np.array([zlib.crc32(t) << 31 | zlib.adler32(t) >> 1 for t in part], np.int64)
+                marks = text_marks(part)
                 rows = np.concatenate([np.arange(size), pair[:, 0]])
                 none = np.zeros(len(pair))
                 ids = batch.column(0).take(pa.array(rows + low))

@@ -2,20 +2,23 @@
 
 All rolling k-word hashes of the texts meet the positions of the templates' k-grams in a Spark
 join; each meeting votes for the diagonal (place in the text minus place in the template).
-Diagonals that lie close together are merged (words were added or dropped), and a merged span
-counts if it covers enough of the template's words within a span of about the template's length.
+Diagonals that lie close together are merged (words were added or dropped).  Of merged diagonals the
+best stretch is verified: of all stretches of about the template's length, the one that covers most
+of its words, and that must be enough of them.  So further votes beside a license do not hide it.
 
 Hashes that no template has are left out before the rows leave the Python worker (templates are
-few and fixed), so the join sees only hashes that can meet.  Short base phrases are templates
-whose places must match word for word on a single diagonal.
+few and fixed), so the join sees only hashes that can meet.  Votes meet on 128 bits, two independent
+hashes of their words.  Short base phrases are templates whose places must match word for word on a
+single diagonal.
 
 Null texts count as empty: one row with no words and no labels.  Rows are told apart by key and
-text; equal rows are scanned once and given back as often as they occur.
+text; equal rows are scanned once and given back as often as they occur.  Very long texts are
+hashed whole.  Other columns are not read and may have any names.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.core import BUFFER, WORD, Roller, buffers, text_bytes, word_grams, words_of
+from millrace.llm.core import BUFFER, LOWER, WORD, text_buffers, text_marks, word_grams, word_hashes, words_of
 
 K = 3
 BROADCAST_GRAMS = 100_000  #: k-grams of all templates
 SLACK = 4  #: words by which neighbouring diagonals of one span may differ
 COVER = 0.6  #: share of the template's words that a span must cover
-STRETCH = 1.5  #: longest span, as a multiple of the template's length
+STRETCH = 1.5  #: how far a stretch reaches, as a multiple of the template's length
 
 #: Fixed values: (label, phrase); each place where the words stand consecutively counts.
 BASE = (
@@ -54,15 +57,31 @@ TEMPLATES = (
 )
 
 
+def checked_grams(texts: list[bytes], k: int):
+    """(grams, whether they lie in one text, texts and places of words, a function to second hashes of grams)."""
+    hashes, doc, index, start, end = words_of(texts, WORD, lower=True)
+    grams, ok = word_grams(hashes, doc, k)
+
+    def check(at: np.ndarray) -> np.ndarray:
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        raw = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+        used, which = np.unique(at[:, None] + np.arange(k), return_inverse=True)
+        other = word_hashes(raw, start[used], end[used], salt=1)[which.ravel()]
+        return word_grams(other, np.zeros(len(other), np.int64), k)[0][::k]
+
+    return grams, ok, doc, index, check
+
+
 def template_rows(base: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]], k: int = K) -> list[tuple]:
-    """(hash, template, label, is_base, grams, words, place) of each k-gram of each template."""
-    roller, out = Roller(), []
+    """(hash, check, template, label, is_base, grams, words, place) of each k-gram of each template."""
+    out = []
     for number, (label, text, is_base) in enumerate([*((a, b, True) for a, b in base), *((a, b, False) for a, b in templates)]):
-        hashes, doc, _, _, _ = words_of([text.encode()], WORD, lower=True)
-        grams, _ = word_grams(hashes, doc, k)
+        grams, _, _, index, check = checked_grams([text.encode()], k)
         if not len(grams):
             raise ValueError(f"a template needs {k} words or more: {text!r}")
-        out += [(int(h), number, label, is_base, len(grams), len(hashes), place) for place, h in enumerate(grams.view(np.int64))]
+        both = zip(grams.view(np.int64).tolist(), check(np.arange(len(grams))).view(np.int64).tolist(), strict=True)
+        out += [(h, c, number, label, is_base, len(grams), len(index), place) for place, (h, c) in enumerate(both)]
     return out
 
 
@@ -70,23 +89,20 @@ def scan_batches(wanted: np.ndarray, k: int):
     """Arrow batches of (key, text) to (key, text hash, words, places and hashes that some template has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller()
         maybe = np.zeros(1 << 16, bool)
         maybe[(wanted >> np.uint64(48)).astype(np.int64)] = True
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for low, high in buffers(texts, 4 * BUFFER):
-                part = texts[low:high]
-                hashes, doc, index, _, _ = words_of(part, WORD, lower=True)
+            for low, high, part in text_buffers(batch.column(1), 4 * BUFFER):
+                grams, ok, doc, index, check = checked_grams(part, k)
                 n_words = np.bincount(doc, minlength=len(part))
-                grams, ok = word_grams(hashes, doc, k)
                 at = np.flatnonzero(ok & maybe[(grams >> np.uint64(48)).astype(np.int64)])
                 at = at[np.isin(grams[at], wanted)]
                 ends = np.searchsorted(doc[at], np.arange(len(part) + 1))
-                # equal texts of one key are one place; the hash tells different texts of a key apart
-                marks = np.array([zlib.crc32(t) << 31 | zlib.adler32(t) >> 1 for t in part], np.int64)
-                places = pa.StructArray.from_arrays([pa.array(index[at].astype(np.int64)), pa.array(grams[at].view(np.int64))], ["place", "hash"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(marks), pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)], ["key", "mark", "n_words", "hits"])
+                # equal texts of one key are one place; the mark tells different texts of a key apart
+                places = pa.StructArray.from_arrays([pa.array(index[at].astype(np.int64)), pa.array(grams[at].view(np.int64)), pa.array(check(at).view(np.int64))], ["place", "hash", "check"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low), pa.array(text_marks(part)), pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)], ["key", "mark", "n_words", "hits"]
+                )
 
     return run
 
@@ -96,29 +112,31 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base: Sequence[
     score and spans (label, first word, words of the verified spans)."""
     spark = df.sparkSession
     rows = template_rows(base, templates, k)
-    table = spark.createDataFrame(rows, "hash long, template int, label string, is_base boolean, grams int, words int, at int")
+    table = spark.createDataFrame(rows, "hash long, check long, template int, label string, is_base boolean, grams int, words int, at int")
     table = F.broadcast(table) if len(rows) <= BROADCAST_GRAMS else table
     wanted = np.unique(np.array([r[0] for r in rows], np.int64).view(np.uint64))
     kind = df.schema[key].dataType.simpleString()
-    hits = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scan_batches(wanted, k), f"key {kind}, mark long, n_words long, hits array<struct<place: long, hash: long>>")
+    hits = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scan_batches(wanted, k), f"key {kind}, mark long, n_words long, hits array<struct<place: long, hash: long, check: long>>")
     # every row also carries one hit that meets nothing: it keeps and counts rows without votes
-    none = F.expr("array(named_struct('place', CAST(NULL AS LONG), 'hash', CAST(NULL AS LONG)))")
-    votes = hits.select("key", "mark", "n_words", F.explode(F.concat(none, "hits")).alias("hit")).repartition("key")
-    votes = votes.select("key", "mark", "n_words", F.col("hit.place").alias("place"), F.col("hit.hash").alias("hash")).join(table, "hash", "left")
+    none = F.expr("array(named_struct('place', CAST(NULL AS LONG), 'hash', CAST(NULL AS LONG), 'check', CAST(NULL AS LONG)))")
+    votes = hits.select("key", "mark", "n_words", F.explode(F.concat(none, "hits")).alias("hit")).repartition("key", "mark")
+    votes = votes.select("key", "mark", "n_words", F.col("hit.place").alias("place"), F.col("hit.hash").alias("hash"), F.col("hit.check").alias("check")).join(table, ["hash", "check"], "left")
     own = ["key", "mark", "n_words"]
     line = votes.groupBy(*own, "template", "label", "is_base", "grams", "words", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("times"), F.collect_set("at").alias("ats"))
     place = "PARTITION BY key, mark, template ORDER BY diagonal"
     line = line.withColumn("fresh", F.expr(f"CASE WHEN diagonal - lag(diagonal) OVER ({place}) <= {SLACK} THEN 0 ELSE 1 END"))
     line = line.withColumn("cluster", F.expr(f"CASE WHEN is_base THEN diagonal ELSE sum(fresh) OVER ({place} ROWS UNBOUNDED PRECEDING) END"))
-    ats = F.array_distinct(F.flatten(F.collect_list("ats")))
-    span = line.groupBy(*own, "template", "label", "is_base", "grams", "words", "cluster").agg(
-        ats.alias("ats"), F.min(F.col("diagonal") + F.array_min("ats")).alias("first"), F.max(F.col("diagonal") + F.array_max("ats") + k).alias("end"), F.max(F.when(F.col("template").isNull(), F.col("times"))).alias("times")
-    )
+    # each vote begins a stretch of STRETCH times the template's words: what of the template lies in it
+    vote = line.select(*own, "template", "label", "is_base", "grams", "words", "cluster", "times", F.explode_outer("ats").alias("at"), "diagonal").withColumn("place", F.col("diagonal") + F.col("at"))
+    stretch = f"PARTITION BY key, mark, template, cluster ORDER BY place / words RANGE BETWEEN CURRENT ROW AND {STRETCH}D FOLLOWING"
+    vote = vote.withColumn("ats", F.expr(f"collect_set(at) OVER ({stretch})")).withColumn("end", F.expr(f"max(place) OVER ({stretch})") + k)
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + k - 1)))))
-    share = F.when(F.col("template").isNotNull(), covered / F.col("words")).otherwise(0.0)
-    span = span.withColumn("share", share)
+    vote = vote.withColumn("share", F.when(F.col("template").isNotNull(), covered / F.col("words")).otherwise(0.0))
+    best = F.max_by(F.struct("ats", "share", F.col("place").alias("first"), "end"), F.struct("share", F.negative("place")))
+    span = vote.groupBy(*own, "template", "label", "is_base", "grams", "words", "cluster").agg(best.alias("best"), F.max(F.when(F.col("template").isNull(), F.col("times"))).alias("times"))
+    span = span.select(*own, "template", "label", "is_base", "grams", "words", "cluster", "times", "best.*")
     full = F.col("is_base") & (F.size("ats") == F.col("grams"))
-    found = ~F.col("is_base") & (F.col("share") >= COVER) & (F.col("end") - F.col("first") <= STRETCH * F.col("words"))
+    found = ~F.col("is_base") & (F.col("share") >= COVER)
     span = span.withColumns({"full": F.coalesce(full, F.lit(False)), "found": F.coalesce(found, F.lit(False))})
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     out = span.groupBy(*own).agg(

@@ -56,7 +56,7 @@ CELL = 0.5
 FIRST = 2.0**-6  #: end of the lowest strip of ranks
 PAIRS = 1 << 17  #: units and cells, or nodes and members, that one numpy pass looks at
 CHUNK = 1024  #: nodes of one side of a block
-BLOCK = 1 << 22  #: bytes of texts that one group compares with a hub
+BLOCK = 1 << 18  #: bytes of texts that one group compares with a hub
 AT_ONCE = 1024  #: nodes outside a bucket's main label that one round takes
 HEADS, GROWTH = 16, 64  #: nodes that the first round takes where there are more, and how many times more each further one
 BITS = 32  #: 64-bit words of the bitmap of a text's shingles

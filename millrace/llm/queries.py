@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import contamination, langid, lattice, licenses, minhash, mixing, quality, secrets, substrings, urls
 
+#: The public vocabulary that op7 reads; another machine names its own.
+VOCABULARY = os.environ.get("MILLRACE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
 #: Fixed values: (host, path, verdict).
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -57,7 +61,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = lattice.score(documents, remainder("doc_id", 10) != 0)
+    out = lattice.score(documents, remainder("doc_id", 10) != 0, VOCABULARY)
     return out.withColumn("held_out", remainder("doc_id", 10) == 0)
 
 
@@ -71,7 +75,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    rows = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 

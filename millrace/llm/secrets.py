@@ -8,12 +8,15 @@ the allow list suppresses it or a base span already holds it.
 
 Offsets are code points, ends exclusive.  Null texts count as empty: no spans.  Rows are scanned
 one by one, so repeated rows repeat; other columns pass through, and columns of the input that
-bear a result's name are replaced.
+bear a result's name are replaced.  A very long text takes time in proportion to its length, also
+if it is full of secrets.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -31,23 +34,37 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-#: Bits a character, by character class of the candidate.
-THRESHOLD = {"hex": 3.0, "token": 3.7}
-#: Candidates that are no secrets: words and paths, numbers, identifiers, placeholders, samples from manuals.
-ALLOW = re.compile(
-    r"[A-Za-z+/_=-]*"
-    r"|[0-9+/_=-]*"
-    r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|.*(?:[Ee]xample|EXAMPLE|placeholder|changeme|your[_-]).*"
-    r"|(?:[A-Za-z]+[0-9]{0,4}[/_-])*[A-Za-z]*[0-9]{0,4}"
-)
-#: A digest that the text announces as such is public.
-ANNOUNCED = re.compile(r"(?:sha\d*|md5|commit|checksum|integrity)[-:= ]*$", re.IGNORECASE)
+#: Bits a character in a window, by character class of the candidate.
+THRESHOLD = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "mixed": 3.6, "token": 3.7}
+CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("lower", re.compile(r"[a-z0-9]+")), ("upper", re.compile(r"[A-Z0-9]+")), ("mixed", re.compile(r"[A-Za-z0-9]+")))
+#: The allow list, for parts between / and = of a candidate: numbers, identifiers, placeholders and
+#: samples from manuals; and words, also run together, with up to four digits behind each.
+ALLOW = re.compile(r"[0-9+_-]*|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+SAMPLE = re.compile(r"[Ee]xample|EXAMPLE|placeholder|changeme|your[_-]")
+WORD = re.compile(r"([A-Za-z]*)[0-9]{0,4}")
+HUMP = re.compile(r"[a-z][A-Z]")
+LETTERS = 6  #: words run together change to a capital once in so many letters at most; random letters do in four
+PART = re.compile(r"[^/=]+")
+#: A hexadecimal digest that the text announces as such is public.
+ANNOUNCED = re.compile(r"\b(?:sha[0-9]*|md5|commit|checksum|integrity)\b[-:= ]*$", re.IGNORECASE)
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
 def character_class(candidate: str) -> str:
-    return "hex" if re.fullmatch("[0-9a-fA-F]+", candidate) else "token"
+    return next((name for name, kind in CLASSES if kind.fullmatch(candidate)), "token")
+
+
+def allowed(part: str) -> bool:
+    if ALLOW.fullmatch(part) or SAMPLE.search(part):
+        return True
+    words = [WORD.fullmatch(x) for x in re.split("[+_-]+", part)]
+    return all(w and len(HUMP.findall(w.group(1))) <= max(1, len(w.group(1)) // LETTERS) for w in words)
+
+
+def suspect(candidate: str) -> tuple[int, int]:
+    """The stretch from the first to the last part that the allow list does not know."""
+    parts = [m.span() for m in PART.finditer(candidate) if not allowed(m.group())]
+    return (parts[0][0], parts[-1][1]) if parts else (0, 0)
 
 
 def hot_stretches(candidate: str, threshold: float) -> list[tuple[int, int]]:
@@ -83,13 +100,20 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(out)
+    starts = [s for s, _, _ in base]
+    reach = list(itertools.accumulate((e for _, _, e in base), max))
     for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if ALLOW.fullmatch(word) or ANNOUNCED.search(text[max(0, m.start() - 16) : m.start()]):
+        low_, high = suspect(m.group())
+        word = m.group()[low_:high]
+        if len(word) < WINDOW:
+            continue
+        kind, at = character_class(word), m.start() + low_
+        if kind == "hex" and ANNOUNCED.search(text[max(0, at - 24) : at]):
             continue
-        for a, b in hot_stretches(word, THRESHOLD[character_class(word)]):
-            a, b = a + m.start(), b + m.start()
-            if not any(s <= a and b <= e for s, _, e in base):
+        for a, b in hot_stretches(word, THRESHOLD[kind]):
+            a, b = a + at, b + at
+            before = bisect.bisect_right(starts, a)
+            if not before or reach[before - 1] < b:  # no base span holds it
                 out.append((a, 3, b))
     return sorted(out)
 

@@ -7,7 +7,8 @@ before allow, then the rule's text).
 
 Null URLs and those without ``://`` have an empty host and path and match no rule.  Repeated rows
 give repeated results; other columns of the input are not read.  An empty rules table leaves every
-URL to the default verdict.  The rules are broadcast only if a count shows that they are few;
+URL to the default verdict, and so an empty table of pages gives an empty result.  Very long URLs
+give no more expressions than the rules' depth and path lengths allow.  The rules are broadcast only if a count shows that they are few;
 beyond that the join shuffles both sides.
 """
 
@@ -42,33 +43,35 @@ def short(digest_: Column) -> Column:
 def compiled(rules: DataFrame) -> DataFrame:
     """Rules (host, path, verdict) with their digests."""
     full = digest(F.col("host"), F.col("path"))
+    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # of two verdicts block
     return rules.select(short(full).alias("__short"), full.alias("__full"), F.length("path").alias("__length"), F.concat("host", "path").alias("__rule"), F.col("verdict").alias("__verdict"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
     """key, host, path, rule and verdict of each row of pages.
 
-    Equal (key, url) rows are judged once and given back as often as they occurred, so the
-    per-URL grouping needs no row number.
+    Equal (key, url) rows are judged once and given back as often as they occurred: each row counts
+    itself in its first expression, so the grouping needs no row number and moves a URL once, after
+    the matches of a row were folded on the map side.
     """
     table = compiled(rules)
-    few = table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    lengths = sorted(r[0] for r in table.select("__length").distinct().collect())  # path lengths: no more than the longest path has characters
-    rows = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url")).groupBy("__key", "__url").agg(F.count(F.lit(1)).alias("__times"))
+    # path lengths: no more than the longest path has characters; labels: no rule has more
+    facts = rules.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1)).alias("deepest")).first()
+    rows = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url"))
     rows = rows.select("*", host(F.col("__url")).alias("__host"), path(F.col("__url")).alias("__path"))
     labels = F.split("__host", r"\.")
-    deepest = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1))).first()[0]  # no rule has more labels
-    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - deepest + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("__path"))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - facts.deepest + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fitting = F.filter(F.array(*[F.lit(n) for n in facts.lengths]).cast("array<int>"), lambda n: n <= F.length("__path"))
+    first = (F.coalesce(F.col("__i"), F.lit(0)) == 0) & (F.coalesce(F.col("__j"), F.lit(0)) == 0)
     expressions = (
-        rows.withColumn("__suffix", F.explode_outer(F.when(F.col("__host") != "", suffixes)))
-        .withColumn("__prefix", F.explode_outer(F.transform(fitting, lambda n: F.substr(F.col("__path"), F.lit(1), n))))
+        rows.select("*", F.posexplode_outer(F.when(F.col("__host") != "", suffixes)).alias("__i", "__suffix"))
+        .select("*", F.posexplode_outer(F.transform(fitting, lambda n: F.substr(F.col("__path"), F.lit(1), n))).alias("__j", "__prefix"))
         .withColumn("__digest", digest(F.col("__suffix"), F.col("__prefix")))
-        .withColumn("__s", short(F.col("__digest")))
+        .select("__key", "__url", "__host", "__path", first.alias("__first"), "__digest", short(F.col("__digest")).alias("__s"))
     )
-    table = F.broadcast(table) if few else table
+    table = F.broadcast(table) if facts.n <= BROADCAST_RULES else table
     met = expressions.join(table, (F.col("__s") == F.col("__short")) & (F.col("__digest") == F.col("__full")), "left")
     best = F.max(F.when(F.col("__rule").isNotNull(), F.struct(F.length("__rule").alias("n"), F.col("__verdict").alias("verdict"), F.col("__rule").alias("rule"))))
-    out = met.groupBy("__key", "__url", "__times", "__host", "__path").agg(best.alias("__best"))
+    out = met.groupBy("__key", "__url", "__host", "__path").agg(best.alias("__best"), F.count_if("__first").alias("__times"))
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
     return out.select(F.col("__key").alias(key), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))

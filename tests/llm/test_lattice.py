@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import lattice
+from millrace.llm import lattice, queries
 from millrace.llm.lattice import Lattice
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,7 +72,7 @@ def test_base_scores_match_brute_force(spark, monkeypatch):
     for frequent in (lattice.FREQUENT, 3):
         monkeypatch.setattr(lattice, "FREQUENT", frequent)
         monkeypatch.setattr(lattice.frequent_limit, "__defaults__", (frequent,))
-        got = lattice.score(df, F.crc32(F.col("doc_id").cast("string")) % 10 != 0).collect()
+        got = lattice.score(df, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, queries.VOCABULARY).collect()
         assert sorted(r.doc_id for r in got) == sorted(d for d, _ in docs)
         text = dict(docs)
         for r in got:
@@ -84,4 +84,22 @@ def test_base_scores_match_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert lattice.score(df, F.lit(True)).collect() == []
+    assert lattice.score(df, F.lit(True), queries.VOCABULARY).collect() == []
+
+
+def test_scores_sum_all_segmentations_and_words_a_polynomial_hash_confuses(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, "the cat sat"), (2, "The hat"), (3, ""), (4, word), (5, other + " cat")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.score(df, F.col("doc_id") != 5, queries.VOCABULARY).collect()}
+    assert (got[5].n_tokens, got[5].n_known) == (3, 2)
+    _, pieces, logp, _, _ = lattice.learn(df, F.col("doc_id") != 5, queries.VOCABULARY)
+    index = {p: i for i, p in enumerate(pieces)}
+    for d, text in docs[:3]:
+        want = logp[-1] + sum(math.log(every(b" " + w.encode(), index, logp)[0]) for w in text.lower().split())
+        assert math.isclose(got[d].score, want / math.log(10), rel_tol=1e-9)
+    with __import__("pytest").raises(FileNotFoundError):
+        lattice.vocabulary("/nowhere.model")

@@ -107,3 +107,17 @@ def test_equal_and_null_ids_do_not_meet_in_one_chunk(spark, monkeypatch):
     monkeypatch.setattr(mixing, "round_chunk", counted)
     data = [(None if i % 2 else 7, "s", "same text") for i in range(200)]
     assert mixing.mixed(spark.createDataFrame(data, "doc_id long, source string, text string")).count() == 200
+
+
+def test_sources_of_few_large_and_many_small_documents_come_near_their_targets(spark):
+    rng = random.Random(5)
+    data = []
+    for i in range(2400):
+        n = rng.randrange(200, 400) if rng.random() < 0.1 else rng.randrange(1, 60)
+        data.append((i, f"s{i % 20:02}", "w " * n))
+    got = mixing.mixed(spark.createDataFrame(data, "doc_id long, source string, text string")).collect()
+    source, taken, target = {i: s for i, s, _ in data}, defaultdict(int), {}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert max(abs(taken[s] - target[s]) / target[s] for s in taken) < 0.03

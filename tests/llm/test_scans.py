@@ -62,6 +62,42 @@ def test_secret_base_spans(spark):
     assert secrets.scan(df.limit(0)).collect() == []
 
 
+def license_labels(text):
+    """Labels by all pairs of words: chained diagonals, and of each chain the stretch that covers most."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    out = set()
+    for label, body in licenses.TEMPLATES:
+        t = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", body.translate(LOWER))
+        votes = sorted((p - a, p, a) for p in range(len(w) - 2) for a in range(len(t) - 2) if w[p : p + 3] == t[a : a + 3])
+        chains = []
+        for v in votes:
+            if chains and v[0] - chains[-1][-1][0] <= licenses.SLACK:
+                chains[-1].append(v)
+            else:
+                chains.append([v])
+        for chain in chains:
+            for _, first, _ in chain:
+                ats = {a for _, p, a in chain if 0 <= (p - first) / len(t) <= licenses.STRETCH}
+                if len({a + i for a in ats for i in range(3)}) >= licenses.COVER * len(t):
+                    out.add(label)
+    return out | {label for label, phrase in licenses.BASE if f" {phrase} " in f" {' '.join(w)} "}
+
+
+def test_license_labels_match_brute_force(spark):
+    rng = random.Random(3)
+    isc = dict(licenses.TEMPLATES)["isc"]
+    docs = [(0, isc), (1, isc + " in all copies" * 8), (2, "in all copies " * 9 + isc), (3, " ".join(isc.split()[:12])), (4, isc.replace("software", "small program"))]
+    for i in range(60):
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randrange(0, 12)):
+            words[rng.randrange(len(words))] = "odd"
+        cut = rng.randrange(len(words))
+        docs.append((10 + i, "some words " * rng.randrange(4) + " ".join(words[cut:] + words[:cut] if i % 3 == 0 else words) + " " + rng.choice(licenses.BASE)[1] * (i % 2)))
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {d: license_labels(t) for d, t in docs}
+    assert got == want and "isc" in want[1] and "isc" not in want[3]
+
+
 def entropy(part):
     return -sum(n / len(part) * math.log2(n / len(part)) for n in Counter(part).values())
 
@@ -80,6 +116,35 @@ def test_entropy_windows_and_allow_list():
         assert [k for _, k, _ in secrets.find(clean) if k == 3] == []
 
 
+def test_random_keys_of_each_form_are_found_and_public_digests_are_not():
+    rng = random.Random(4)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    forms = [lower + digits, upper + digits, lower + upper + digits, lower + upper + digits + "+/"]
+    for letters in forms:
+        for around in ("{}", "see {} here", "/example/{}", "key={}", "sha {}", "nashasha: {}"):
+            key = "7" + some(letters, 40) + "9"
+            found = [(a, b) for a, k, b in secrets.find(around.format(key)) if k == 3]
+            at = around.index("{")
+            assert found and sum(min(b, at + 42) - max(a, at) for a, b in found) >= 30, around.format(key)
+    letters_only = [some(lower + upper, 40) for _ in range(20)]
+    assert sum(bool(secrets.find(k)) for k in letters_only) >= 18
+    digest = "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709"
+    assert secrets.find(f"sha1: {digest}") == [] != secrets.find(f"value: {digest}")
+    for clean in ("anIdentifierThatHasSeveralWords", "some_module_name2/another_part10", "internationalisierungsbemühungen"):
+        assert secrets.find(clean) == []
+
+
+def test_a_long_text_full_of_secrets_takes_time_in_proportion():
+    import time
+
+    key = "24be64439e3e49cf46b2d7c9"
+    began = time.monotonic()
+    assert len(secrets.find(f"token = {key} q7Rt2Xv9Lm4Kp8Zw3Ns6Yb1 " * 10_000)) >= 30_000
+    assert not secrets.find("z" * 1_000_000 + "_")
+    assert time.monotonic() - began < 15
+
+
 def test_redaction_keeps_rows_and_other_columns(spark):
     df = spark.createDataFrame([(1, 'a token = "24be64439e3e49cf46b2d7c9" b', 5), (2, "clean", 6), (3, None, 7)], "doc_id long, text string, n int")
     assert sorted(map(tuple, secrets.redact(df).collect())) == [(1, 'a [SECRET]" b', 5), (2, "clean", 6), (3, None, 7)]
@@ -179,7 +244,7 @@ def test_urls(spark, monkeypatch, few):
     pages = [(i, f"http://{h}{t}", "keep") for i, (h, t) in enumerate((h, t) for h in hosts for t in tails)]
     pages += [(500, None, ""), (501, "no scheme", ""), (502, "x\ny://a.com/en/", ""), (3, pages[3][1], "again"), (None, "http://a.org", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, host string")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.createDataFrame(RULES + RULES[:1] + [("net", "/de/", "block")], "host string, path string, verdict string").where("NOT (host = 'net' AND verdict = 'block')")
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, rules).collect())
     assert got == Counter((i, *url_brute(u)) for i, u, _ in pages)
     assert {r.verdict for r in urls.judge(df, rules.limit(0)).collect()} == {"allow"}
