@@ -79,6 +79,23 @@ def test_null_and_repeated_ids_through_all_stages(spark, tmp_path):
     assert abs(sum(len(r.text.split()) * r.copies for r in got) - 1.5 * sum(words)) <= max(words)
 
 
+def test_extra_columns_and_empty_tables(spark, tmp_path):
+    rows, items = documents(3)
+    folder = str(tmp_path)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kind = KIND + ", score double, lang_pred string, node long, item_id long"
+    docs = spark.createDataFrame([(*r, 7.5, "x", 1, 2) for r in rows[:40] if r[1]], kind)
+    for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:4]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == docs.columns
+        assert {(r.score, r.lang_pred, r.node, r.item_id) for r in kept.collect()} == {(7.5, "x", 1, 2)}
+    empty = spark.createDataFrame([], KIND)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).collect() == [], name
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/none/benchmark.parquet")
+    assert corpus_pipeline.benchmark_leaks(spark, docs, f"{folder}/none").count() == docs.count()
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
