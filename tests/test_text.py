@@ -28,6 +28,10 @@ def test_paths_and_names(spark):
 
 def test_numbers_versions_and_differences(spark):
     assert one(spark, ["1", "-2.5e3", ".5", "1_0", "1d", "nan", "", None], T.is_number) == [True, True, True, False, False, False, False, False]
-    assert one(spark, ["1.10", "1.9", "1.0.0", "2", "x", None], T.version_key) == [[1, 10], [1, 9], [1], [2], None, None]
+    keys = one(spark, ["1.10", "1.9", "1.0.0", "2", "x", "1.*", None], T.version_key)
+    assert [k and k.release for k in keys] == [[1, 10], [1, 9], [1], [2], None, None, None]
+    rising = ["1.0.dev1", "1.0a1.dev2", "1.0a1", "1.0b2", "1.0rc1", "1.0", "1.0.post1.dev3", "1.0.post1", "1.0-2", "1.0.1", "1.1", "1!0.1"]
+    keys = one(spark, rising, T.version_key)
+    assert keys == sorted(keys) and len(set(map(str, keys))) == len(rising)
     assert one(spark, ["1.0", "1.000000001", "1.1", "a"], lambda c: T.differs(c, F.lit("1"))) == [False, False, True, True]
     assert one(spark, ["4abc", "x", "7"], lambda c: T.leading_int(c, F.lit(0))) == [4, 0, 7]
