@@ -65,7 +65,8 @@ def closure(starts: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame
     """(node): all that is reached from the starts along edges (src, dst); cycles end.
 
     A round joins the newest nodes only and drops those seen before; each round's nodes are
-    checkpointed, so the plan does not grow.  It stops when a round finds nothing new.
+    checkpointed once, and what was seen is the union of these.  It stops when a round finds nothing
+    new.
     """
     from millrace.plans.session import checkpointed
 
@@ -74,5 +75,5 @@ def closure(starts: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame
         fresh = checkpointed(fresh.join(edges, fresh.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if fresh.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(fresh))
+        seen = seen.unionByName(fresh)
     raise ValueError(f"includes reach deeper than {rounds} levels")

@@ -114,7 +114,10 @@ def command_line(params: Mapping[str, str]) -> list[str]:
 
 
 def pipe(lines: DataFrame, program: list[str], rows: int = 10_000) -> DataFrame:
-    """One process for each partition that has lines; its output goes to a file until it ends well."""
+    """One process for each partition that has lines; its output goes to a file until it ends well.
+
+    A null is an empty line.  Only line feeds end lines of the output; bytes that are no UTF-8 are replaced.
+    """
     import pandas as pd
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +129,7 @@ def pipe(lines: DataFrame, program: list[str], rows: int = 10_000) -> DataFrame:
                         process = subprocess.Popen(program, stdin=subprocess.PIPE, stdout=out, stderr=err)
                     with contextlib.suppress(BrokenPipeError):  # a program may stop reading early
                         if process is not None:
-                            process.stdin.write("".join(f"{v}\n" for v in frame["value"]).encode())
+                            process.stdin.write("".join(f"{v}\n" for v in frame["value"].fillna("")).encode())
                 if process is None:
                     return
                 with contextlib.suppress(BrokenPipeError):
@@ -139,7 +142,7 @@ def pipe(lines: DataFrame, program: list[str], rows: int = 10_000) -> DataFrame:
                     process.kill()
                     process.wait()
             out.seek(0)
-            text = (line.rstrip("\n") for line in io.TextIOWrapper(out, encoding="utf-8"))
+            text = (line.removesuffix("\n") for line in io.TextIOWrapper(out, encoding="utf-8", errors="replace", newline="\n"))
             while part := list(itertools.islice(text, rows)):
                 yield pd.DataFrame({"value": part})
 

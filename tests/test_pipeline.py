@@ -108,6 +108,14 @@ def test_command_runs_once_a_partition(spark):
         spark.conf.set(name, before)
 
 
+def test_command_keeps_lines_whole(spark):
+    from millrace.plans.steps import pipe
+
+    lines = spark.createDataFrame([("a\rb ",), (None,), ("é\x85c",)], "value string").coalesce(1)
+    assert [r.value for r in pipe(lines, ["cat"]).collect()] == ["a\rb ", "", "é\x85c"]
+    assert [r.value for r in pipe(lines.limit(1), ["printf", r"\377x\n"]).collect()] == ["\ufffdx"]
+
+
 def config(tmp_path, text):
     (tmp_path / "config.txt").write_text(text)
     return str(tmp_path / "config.txt")
