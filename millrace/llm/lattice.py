@@ -142,24 +142,27 @@ class Lattice:
         return out, expected
 
     def plain(self, text: bytes, count: float | None, expected: np.ndarray | None) -> float:
-        """The same recursions for one long word."""
+        """The same recursions for one long word; pieces are looked up again on the way back, so two
+        numbers a byte are held, however long it is."""
+
+        def ending(high: int) -> list[tuple[int, int]]:
+            """(beginning, piece) of the pieces that end there."""
+            return [(high - s, self.index[text[high - s : high]]) for s in self.sizes if s <= high and text[high - s : high] in self.index]
+
         alpha = np.full(len(text) + 1, -np.inf)
         alpha[0] = 0.0
-        kept = []
         for high in range(1, len(text) + 1):
-            found = [(high - s, self.index[text[high - s : high]]) for s in self.sizes if s <= high and text[high - s : high] in self.index]
-            terms = [alpha[low] + self.logp[number] for low, number in found]
+            terms = [alpha[low] + self.logp[number] for low, number in ending(high)]
             top = max(terms)
             alpha[high] = top + math.log(sum(math.exp(t - top) for t in terms))
-            if expected is not None:
-                kept += [(low, high, number) for low, number in found]
         if expected is not None:
             beta = np.full(len(text) + 1, -np.inf)
             beta[-1] = 0.0
-            for low, high, number in reversed(kept):
-                through = self.logp[number] + beta[high]
-                expected[number] += count * math.exp(alpha[low] + through - alpha[-1])
-                beta[low] = np.logaddexp(beta[low], through)
+            for high in range(len(text), 0, -1):  # all that begins there has been added
+                for low, number in ending(high):
+                    through = self.logp[number] + beta[high]
+                    expected[number] += count * math.exp(alpha[low] + through - alpha[-1])
+                    beta[low] = np.logaddexp(beta[low], through)
         return float(alpha[-1])
 
 
