@@ -347,8 +347,8 @@ r AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' UNI
 def include_closure(spark, sf_dir):
     """All orders are edges, to targets spread over all customers; one segment's customers are the starts."""
     customer = read(spark, sf_dir, "customer")
-    n = customer.agg((F.max("c_custkey") + 1).alias("n"))
-    edges = read(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % F.col("n")).alias("dst"))
+    n = customer.agg(F.coalesce(F.max("c_custkey"), F.lit(0)) + 1).first()[0]
+    edges = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n).alias("dst"))
     return catalog.closure(customer.where("c_mktsegment = 'BUILDING'").select("c_custkey"), edges.distinct())
 
 
