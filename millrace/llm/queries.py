@@ -13,6 +13,13 @@ from millrace.llm import contamination, langid, lattice, licenses, minhash, mixi
 #: The public vocabulary that op7 reads; another machine names its own.
 VOCABULARY = os.environ.get("MILLRACE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
+#: Fixed values: (label, phrase).
+LICENSE_PHRASES = (
+    ("mit", "under the mit license"),
+    ("apache-2", "apache license version 2"),
+    ("cc-by-nc", "cc by nc"),
+)
+
 #: Fixed values: (host, path, verdict).
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -41,7 +48,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), base=LICENSE_PHRASES).drop("spans")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

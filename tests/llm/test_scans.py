@@ -44,6 +44,27 @@ def test_license_base_counts_and_spans(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_license_query_counts_the_phrases_of_the_contract(spark, tmp_path):
+    from millrace.llm.queries import op3_license_scan
+
+    rng = random.Random(11)
+    phrases = {"mit": "under the mit license".split(), "apache-2": "apache license version 2".split(), "cc-by-nc": "cc by nc".split()}
+    bits = ["Under\nthe MIT-License", "The MIT License", "under the", "mit license", "Apache License, Version 2.0", "apache license version", "CC BY-NC", "by nc", "under thé mit license", "\x00word"]
+    docs = [(i, " ".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for i in range(60)] + ODD
+    docs += [(200, "The MIT License"), (201, "x Under the MIT License under the mit license"), (None, "under the mit license"), (None, None), docs[3], docs[3], (3, "under the mit license")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(text):
+        w = WORD.findall((text or "").translate(LOWER))
+        places = [(i, k) for k, p in phrases.items() for i in range(len(w)) if w[i : i + len(p)] == p]
+        at = [i for i, _ in places]
+        return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({k for _, k in places}))
+
+    got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in op3_license_scan(spark, str(tmp_path)).collect())
+    assert got == Counter((d, *brute(t)) for d, t in docs)
+    assert got[(200, 3, 0, None, None, "")] == 1 and got[(201, 9, 2, 1, 5, "mit")] == 1
+
+
 def test_secret_base_spans(spark):
     rng = random.Random(4)
     bits = ['token = "24be64439e3e49cf46b2d7c9"', "AKIA" + "Q" * 16, "AKIAshort", "password: abc", "API_KEY=A1b2C3d4E5f6", "deadbeefdeadbeef", "apikey:'x.y/z+123456'", "ſecret = abcdefghijklmno", "plain é text", "PASSWD\t=\tabcdefghijklm", "secret:token: abcdefghijklmnop"]
