@@ -34,6 +34,26 @@ def test_catalog(spark):
     assert [tuple(r) for r in catalog.crawl(pages).collect()] == [("u0", "u1", "u9", "Z")]
 
 
+def test_crawl_query_counts_links_without_pairing_them(spark, tmp_path):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from millrace import queries
+
+    names = ["a", "b", "c", ""]
+    pages = [(i, "".join(f'<a href="{names[(i + i // 7 * j) % 4]}">{j}</a>' for j in range(i % 5))) for i in range(40)] + [(40, None), (41, "no link")]
+    small = spark.createDataFrame(pages, "page_id long, html string")
+    named = small.select(F.regexp_extract("html", catalog.LINK, 1).alias("url"), "html")
+    want = {r.site: r["count"] for r in catalog.crawl(named).groupBy("site").count().collect()}
+    assert {r.site: r.n for r in catalog.crawl_counts(named).collect()} == want and len(want) > 1
+    hub = spark.range(10).select("id", F.repeat(F.lit('<a href="u">x</a>'), 20_000).alias("html"))
+    small.unionByName(hub.withColumnRenamed("id", "page_id")).write.parquet(str(tmp_path / "pages.parquet"))
+    began = time.monotonic()
+    assert {r.site: r.n for r in queries.QUERIES["crawl"](spark, str(tmp_path)).collect()} == {**want, "u": 200_000**2}
+    assert time.monotonic() - began < 30
+
+
 def test_requirements(spark):
     text = [("p", 1, "Foo_Bar==1.2 # pin"), ("p", 2, "-r other"), ("p", 3, ""), ("q", 4, "foo-bar == 1.3"), ("q", 5, "num>=1.10, <2"), ("r", 6, "num<=1.9"), ("r", 7, "any")]
     rows = spark.createDataFrame(text, "plugin string, pos int, value string")
