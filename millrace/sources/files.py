@@ -68,8 +68,24 @@ def token_pairs(whole: DataFrame, by: str = "file") -> DataFrame:
 def token_parameters(whole: DataFrame, by: str = "file") -> DataFrame:
     """The same from a stream of tokens: of a repeated key the last value counts.  Pairs are made within
     a row, so rows with one file stay streams of their own; of one key at one place in several of them
-    the greatest value counts."""
-    return token_pairs(whole, by).groupBy(by, "key").agg(F.max_by("value", F.struct("pair", "value")).alias("value"))
+    the greatest value counts.  Each row keeps its last pair of a key, and only rows that share their
+    file are grouped: the pairs of all others are neither sorted nor moved."""
+    rows = whole.select(by, "value")
+    shared = rows.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+    same = F.col(by).eqNullSafe(F.col("__by"))
+
+    def last(some: DataFrame) -> DataFrame:
+        words = some.select(by, tokens(F.col("value")).alias("words")).where(F.size("words") >= 2)
+        each = F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / 2).cast("int") - 1), lambda i: F.struct(F.get("words", 2 * i).alias("key"), i.cast("long").alias("pair"), F.get("words", 2 * i + 1).alias("value")))
+        ordered = words.select(by, each.alias("each")).select(by, F.sort_array("each").alias("each"))
+        following = F.slice("each", F.lit(2), F.size("each"))
+        kept = F.zip_with("each", following, lambda p, after: F.when(~p["key"].eqNullSafe(after["key"]), p))
+        return ordered.select(by, F.explode(F.array_compact(kept)).alias("p")).select(by, "p.pair", "p.key", "p.value")
+
+    alone = last(rows.join(shared, same, "left_anti")).select(by, "key", "value")
+    # dealt before they are sorted for grouping, by place too, so that no key or file of many rows lands in one task
+    dealt = last(rows.join(shared, same, "left_semi")).repartition(by, "key", "pair")
+    return alone.unionByName(dealt.groupBy(by, "key").agg(F.max_by("value", F.struct("pair", "value")).alias("value")))
 
 
 def as_map(pairs: DataFrame, by: str = "file") -> DataFrame:

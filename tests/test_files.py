@@ -25,6 +25,27 @@ def test_token_parameters_query_reads_every_token(spark, tmp_path):
     assert got == [(1, "a", "5"), (1, "b", "2"), (1, "c", "3"), (1, "d", "4"), (4, "x", "y"), (5, "k", "v"), (5, "k2", "v2"), (5, "k3", "v3")]
 
 
+def test_token_parameters_sorts_no_pairs_of_files_of_their_own(spark, tmp_path):
+    def brute(texts):
+        best = {}
+        for doc, text in texts:
+            words = (text or "").split()
+            for i in range(len(words) // 2):
+                key = doc, words[2 * i]
+                best[key] = max(best.get(key, (-1, "")), (i, words[2 * i + 1]))
+        return sorted(((str(d), k, v) for (d, k), (_, v) in best.items()))
+
+    own = [(i, " ".join(f"k{(i + j * j) % 7} v{j}" for j in range(i))) for i in range(60)] + [(100, "ä 1 a 2 ä 3"), (101, None), (None, "n 1 n 2")]
+    several = own + [(7, "k1 z k2"), (7, None), (8, "x y"), (None, "n 3"), (None, "n 1 n 1")]
+    for name, texts in (("own", own), ("several", several)):
+        spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = queries.QUERIES["token_parameters"](spark, str(tmp_path / name))
+        assert sorted((str(r.doc_id), r.key, r.value) for r in out.collect()) == brute(texts)
+        if name == "own":
+            final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "Final Plan" in final and "Sort" not in final
+
+
 def test_formats(spark, tmp_path):
     for kind in ("parquet", "json", "orc"):
         spark.range(3).write.format(kind).save(str(tmp_path / kind))
